@@ -33,11 +33,22 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+    from .workspace import stage
+
+    made = stage(media.stored_documents(table(spark, sf_dir, "documents"), ["doc_id"]), "media")
+    pages = media.sequences(made.select("doc_id", "n_bytes", "html"), ["doc_id", "n_bytes"])
+    found = media.resolve(pages, media.features(made.select("digest", "media")), ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op10_media_columns": op10_media_columns,
     }
 
 
