@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The tokenizer file of the token queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +22,26 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .sampling import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    from .sampling import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_fst import token_counts
 
@@ -33,6 +54,16 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id
+    from .sampling import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(remainder("doc_id", 4) != 2))
+    found = lang_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
     from .workspace import stage
@@ -46,8 +77,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op8_language": op8_language,
         "op10_media_columns": op10_media_columns,
     }
 
