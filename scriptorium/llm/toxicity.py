@@ -25,7 +25,7 @@ from .sampling import lowest, remainder
 #: Labelled rows of each class that a fit uses (a bound, whatever the input).
 SAMPLE_ROWS = 8192
 #: N-grams that the classifier looks at, cells that n-grams are hashed to, lengths in bytes.
-FEATURES, CELLS, LENGTHS = 512, 1 << 20, (4, 5, 6)
+FEATURES, CELLS, LENGTHS = 2048, 1 << 20, (4, 5, 6)
 
 #: What a sign may stand for.
 LEET = {
@@ -226,6 +226,7 @@ def row_hits(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Model:
     counts: np.ndarray
     cells: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    feature: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each cell; several may share one
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
 
@@ -242,7 +243,7 @@ class Model:
     def number(self) -> np.ndarray:
         if "_number" not in self.__dict__:
             made = np.full(CELLS, -1, np.int16)
-            made[self.cells] = np.arange(len(self.cells))
+            made[self.cells] = self.feature
             self.__dict__["_number"] = made
         return self.__dict__["_number"]
 
@@ -252,7 +253,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Weighted ridge logistic regression by Newton's method; the bias isn't held back."""
     x = np.hstack([x, np.ones((len(x), 1))])
     hold = np.full(x.shape[1], ridge)
@@ -307,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
     z = (F.col("b") / float(n1) - F.col("a") / float(n0)) / F.sqrt(rate * (1 - rate) + 1e-6)
     best = per_cell.where("b >= 2").withColumn("z", z).where("z > 0").orderBy(F.col("z").desc(), "cell").limit(FEATURES).toArrow()
     model.cells = best.column("cell").to_numpy().astype(np.int64)
-    chosen_cells = Model(counts, model.cells)
+    chosen_cells = Model(counts, model.cells, np.arange(len(model.cells)))
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,9 +320,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
 
     got = sample.mapInArrow(dense, "y int, found array<int>").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
-    x = np.zeros((len(y), len(model.cells)))
+    x = np.zeros((len(y), len(model.cells)), np.uint8)
     for i, found in enumerate(got.column("found").to_pylist()):
         x[i, found] = 1
+    # N-grams that always come together (of one word, say) are one feature.
+    x, model.feature = np.unique(x, axis=1, return_inverse=True)
+    x, model.feature = x.astype(np.float64), model.feature.reshape(-1)
     model.weight, model.bias = logistic(x, y, np.where(y == 1, n[1] / n1, n[0] / n0))
     return model
 
