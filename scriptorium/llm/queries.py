@@ -42,6 +42,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import Rule, groups
+
+    return groups(table(spark, sf_dir, "documents"), Rule(words=3, percent=90)).drop("group")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_fst import token_counts
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": op1_source_mix,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
+        "op5_ngram_join": op5_ngram_join,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_language": op8_language,
