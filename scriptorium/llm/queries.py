@@ -22,6 +22,13 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vamana import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
     from .sampling import remainder
@@ -83,6 +90,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_vector_search": op2_vector_search,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
         "op5_ngram_join": op5_ngram_join,
