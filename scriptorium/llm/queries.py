@@ -77,6 +77,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    made = derivatives(responses(table(spark, sf_dir, "pages")))
+    columns = ["warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest"]
+    return made.select(F.col("key").alias("page_id"), *columns, F.col("source_headers")["Content-Length"].alias("source_length"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
     from .workspace import stage
@@ -97,11 +105,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_language": op8_language,
+        "op9_warc_derivatives": op9_warc_derivatives,
         "op10_media_columns": op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import mixing, warc
 
-    return {"op1_source_mix": mixing.ORACLE_SQL}
+    return {"op1_source_mix": mixing.ORACLE_SQL, "op9_warc_derivatives": warc.ORACLE_SQL}
