@@ -100,7 +100,8 @@ def signature(grams: np.ndarray) -> bytes:
 def row_sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
     grams, at = shingle_hashes(*flat(column), rule.words)
     for begin, end in zip(at[:-1], at[1:]):
-        yield np.unique(grams[begin:end])
+        own = np.sort(grams[begin:end])
+        yield own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
 
 
 def signed(docs: DataFrame, keep: list[str], rule: Rule, level: np.ndarray, text: str = "text") -> DataFrame:

@@ -38,10 +38,11 @@ _LETTER = "A-Za-z"
 _SUSPECT = re.compile(
     rf"(?<![{_LETTER}{_SIGN}])(?:"
     rf"(?:[{_LETTER}][ .\-_*]){{3,}}[{_LETTER}](?![{_LETTER}])"
-    rf"|(?=[{_SIGN}]*[{_LETTER}])[{_LETTER}{_SIGN}]{{3,32}}(?![{_LETTER}{_SIGN}])"
-    rf")"
+    rf"|(?=[{_LETTER}]*(?:[{_SIGN}]+[{_LETTER}]|(?<=[{_LETTER}])[0134578$]{{1,2}}(?![{_LETTER}{_SIGN}])|([{_LETTER}])\1\1))"
+    rf"(?=[{_SIGN}]*[{_LETTER}])[{_LETTER}{_SIGN}]{{3,32}}(?![{_LETTER}{_SIGN}])"
+    rf")",
+    re.IGNORECASE,
 )
-_ODD = re.compile(rf"[{_SIGN}](?=[{_LETTER}])|(?<=[{_LETTER}])[0134578$](?![{_LETTER}{_SIGN}])|([{_LETTER}])\1\1|[{_LETTER}][ .\-_*][{_LETTER}]", re.IGNORECASE)
 
 
 # The language model ---------------------------------------------------------------------------------------------------
@@ -126,6 +127,9 @@ class Decoder:
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[ord(c) for c in "0123456789@$!|+(<"]] = True
+_SIGNS[0x80:] = [0xA1 <= b <= 0xA3 or b == 0xAC for b in range(0x80, 0x100)]  # last bytes of those beyond ASCII
+_LAST_SIGNS = np.zeros(256, bool)
+_LAST_SIGNS[[ord(c) for c in "0134578$"]] = True
 _GAPS = np.zeros(256, bool)
 _GAPS[[ord(c) for c in " .-_*"]] = True
 
@@ -137,12 +141,11 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = data | 0x20
     hit = np.zeros(len(data), bool)
     if len(data) > 2:
-        hit[1:] |= letter[1:] & (sign[:-1] | (data[:-1] >= 0xA0))
-        hit[1:] &= sign[:-1]
-        hit[:-1] |= letter[:-1] & sign[1:]
+        hit[1:] |= letter[1:] & sign[:-1]
+        hit[:-1] |= letter[:-1] & _LAST_SIGNS[data[1:]]
         hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    if len(data) > 4:
-        hit[4:] |= letter[4:] & gap[3:-1] & letter[2:-2] & gap[1:-3] & letter[:-4]
+    if len(data) > 6:
+        hit[6:] |= letter[6:] & gap[5:-1] & letter[4:-2] & gap[3:-3] & letter[2:-4] & gap[1:-5] & letter[:-6]
     where = np.flatnonzero(hit)
     return np.searchsorted(where, offsets[1:]) > np.searchsorted(where, offsets[:-1])
 
@@ -153,8 +156,7 @@ class Restorer:
         self.decode = lru_cache(maxsize=100_000)(self.decoder.decode)
 
     def _one(self, m: re.Match) -> str:
-        stretch = m[0]
-        return self.decode(stretch) if _ODD.search(stretch) else stretch
+        return self.decode(m[0])
 
     def restore(self, text: str) -> str:
         return _SUSPECT.sub(self._one, text)
@@ -218,7 +220,8 @@ def row_hits(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarr
         where = np.flatnonzero(f >= 0)
         rows.append(np.searchsorted(at, where, "right") - 1)
         found.append(f[where])
-    pairs = np.unique(np.concatenate(rows).astype(np.int64) << 20 | np.concatenate(found).astype(np.int64))
+    pairs = np.sort(np.concatenate(rows).astype(np.int64) << 20 | np.concatenate(found).astype(np.int64))
+    pairs = pairs[np.concatenate((np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]))]
     return pairs >> 20, pairs & (1 << 20) - 1
 
 
@@ -253,16 +256,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Weighted ridge logistic regression by Newton's method; the bias isn't held back."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    hold = np.full(x.shape[1], ridge)
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 12, block: int = 1024) -> tuple[np.ndarray, float]:
+    """Weighted ridge logistic regression by Newton's method on 0/1 features; the bias isn't held back. Rows are turned to
+    numbers a block at a time."""
+    size = x.shape[1] + 1
+    hold = np.full(size, ridge)
     hold[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weights * (p - y)) + hold * w
-        hess = (x * (weights * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(hold)
+        grad, hess = hold * w, np.diag(hold)
+        for at in range(0, len(x), block):
+            part = np.ones((len(x[at : at + block]), size))
+            part[:, :-1] = x[at : at + block]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            own = weights[at : at + block]
+            grad += part.T @ (own * (p - y[at : at + block]))
+            hess += (part * (own * p * (1 - p) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -320,12 +329,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
 
     got = sample.mapInArrow(dense, "y int, found array<int>").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
+    lists = got.column("found").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     x = np.zeros((len(y), len(model.cells)), np.uint8)
-    for i, found in enumerate(got.column("found").to_pylist()):
-        x[i, found] = 1
+    x[np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
     # N-grams that always come together (of one word, say) are one feature.
-    x, model.feature = np.unique(x, axis=1, return_inverse=True)
-    x, model.feature = x.astype(np.float64), model.feature.reshape(-1)
+    firsts: dict[bytes, int] = {}
+    patterns = np.packbits(x, axis=0)
+    model.feature = np.array([firsts.setdefault(patterns[:, j].tobytes(), len(firsts)) for j in range(x.shape[1])])
+    x = x[:, np.unique(model.feature, return_index=True)[1]]
     model.weight, model.bias = logistic(x, y, np.where(y == 1, n[1] / n1, n[0] / n0))
     return model
 
