@@ -62,7 +62,7 @@ def avoided_spans(docs: DataFrame, terms: DataFrame, keep: list[str], text: str
     listed = listed.groupBy(*on).agg(F.sort_array(F.collect_list("term")).alias("terms")) if on else listed.agg(F.sort_array(F.collect_list("term")).alias("terms"))
     met = docs.join(F.broadcast(listed), on) if on else docs.withColumn("terms", listed.scalar())
     each = met.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("t"), F.explode("terms").alias("term")).where(F.contains(F.col("t"), F.col("term")))
-    parts = F.transform(F.split(F.replace(F.col("t"), F.col("term"), F.lit("\u0001")), "\u0001", -1), lambda x: F.octet_length(x))
+    parts = F.transform(F.split(F.col("t"), F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1), lambda x: F.octet_length(x))
     size = F.octet_length("term")
     each = each.select(*keep, "term", parts.alias("parts"), size.alias("size"))
     begins = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.col("size"))
