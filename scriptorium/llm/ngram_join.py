@@ -1,9 +1,11 @@
 """Exact Jaccard join of word n-gram sets by prefix trees, and the groups that its links make.
 
-All n-grams have one global order: by how often their cell of a count table (a fixed number of cells, over all texts) is
-hit, rarest first, then by hash. Two sets that are similar enough share an n-gram among their first few in this order, so
-sets that share one (and are of similar size) are brought together as candidate groups, in blocks of bounded size. In a
-block the sets go into a trie, commonest n-grams first. Each set then walks the trie: the overlap with a path counts for
+All n-grams have one global order. First come probes, a fixed share of all hashes without the very common ones: those of
+one set alone, then those that sets share, by hash. The other hashes follow, then the very common ones, as a count table
+of a fixed number of cells over all texts tells them. Two sets that are similar enough share an n-gram among their first
+few in this order (their prefixes), so sets that share one, and are of similar size, are brought together as candidate
+groups, in blocks of bounded size. A set whose prefix is all its own is linked with nothing. In a block the sets go into a
+trie, commonest n-grams first. Each set then walks the trie: the overlap with a path counts for
 all sets below it, and a subtree is left where size, position and what remains can't reach the threshold any more.
 
 Equal sets (exact copies above all) are one class from the start and never meet as pairs. Within a block, sets that are
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, flat, mix, shingle_hashes, slices
@@ -26,6 +28,8 @@ from .workspace import stage
 
 #: Cells of the count table (the only thing that is sent to every task).
 CELL_BITS = 18
+#: Probes are this many times the share of a set that a linked one may lack; cells hit so many times the mean are common.
+SPARE, COMMON = 1.5, 16
 #: n-grams in a block; larger candidate groups are joined block by block.
 BLOCK_GRAMS = 2_000_000
 
@@ -45,19 +49,27 @@ class Rule:
         """How many of the first n-grams must hold one of any linked set's."""
         return n - -(-self.percent * n // 100) + 1
 
-    def bands(self, n: int, base: float) -> range:
-        """Size bands of a set and of the larger ones it may link with."""
-        edges = _edges(base)
-        return range(int(np.searchsorted(edges, n, "right")), int(np.searchsorted(edges, n * 100 // self.percent, "right")) + 1)
+    @property
+    def probe_below(self) -> int:
+        """Hashes below this are probes."""
+        return min((1 << 64) - 1, int((1 << 64) * SPARE * (100 - self.percent) / 100))
 
+    def bands(self, n: int) -> list[int]:
+        """Size bands of a set and of the larger ones it may link with; linked sets have one in common."""
+        edges = _edges(self.percent)
+        low, high = np.searchsorted(edges, [n, n * 100 // self.percent], "right")
+        return list(range(int(low), int(high) + 1))
 
-_EDGES: dict[float, np.ndarray] = {}
 
+_EDGES: dict[int, np.ndarray] = {}
 
-def _edges(base: float) -> np.ndarray:
-    if base not in _EDGES:
-        _EDGES[base] = np.unique(np.ceil(base ** np.arange(1, int(30 / np.log10(base) / 2) + 1)).astype(np.float64))
-    return _EDGES[base]
+
+def _edges(percent: int) -> np.ndarray:
+    """Sizes at which bands begin, each 1 / threshold times the one before."""
+    if percent not in _EDGES:
+        base = 100 / min(percent, 99)
+        _EDGES[percent] = np.unique(np.ceil(base ** np.arange(1, int(np.log(1e12) / np.log(base)))))
+    return _EDGES[percent]
 
 
 # The global order -----------------------------------------------------------------------------------------------------
@@ -104,35 +116,69 @@ def row_sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
         yield own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
 
 
-def signed(docs: DataFrame, keep: list[str], rule: Rule, level: np.ndarray, text: str = "text") -> DataFrame:
-    """Kept columns with ``n``, ``sig``, ``cid`` (64 bits of it) and ``keys``: the prefix, each n-gram once for each band."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+def signed(docs: DataFrame, keep: list[str], rule: Rule, counts: np.ndarray, text: str = "text") -> DataFrame:
+    """Kept columns with ``n``, ``sig``, ``cid`` (64 bits of it), ``bands``, ``probes`` (all of the set that aren't common),
+    ``need`` (how many more n-grams than probes the prefix has; negative: fewer) and ``rest`` (those, where it has more)."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels(counts), int(levels(np.array([COMMON * max(1.0, counts.mean())]))[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, common = shared.value
+        below = U64(rule.probe_below)
+        empty = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
-                sizes, sigs, cids, keys = [], [], [], []
+                sizes, sigs, cids, bands, probes, needs, rests = [], [], [], [], [], [], []
                 for grams in row_sets(part.column("__text"), rule):
                     n = len(grams)
                     sizes.append(n)
-                    sig = signature(grams) if n else None
+                    if not n:
+                        for column, value in ((sigs, None), (cids, None), (bands, []), (probes, empty), (needs, 0), (rests, empty)):
+                            column.append(value)
+                        continue
+                    sig = signature(grams)
                     sigs.append(sig)
-                    cids.append(int.from_bytes(sig[:8], "big", signed=True) if n else None)
-                    if n:
-                        order = np.argsort(level[(grams >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-                        first = grams[order[: rule.prefix(n)]]
-                        keys.append(np.concatenate([mix(first + U64(0x9E37 * (b + 1))) for b in rule.bands(n, 1.5)]).view(np.int64))
+                    cids.append(int.from_bytes(sig[:8], "big", signed=True))
+                    bands.append(rule.bands(n))
+                    high = level[(grams >> U64(64 - CELL_BITS)).astype(np.int64)]
+                    probe = (grams < below) & (high < common)
+                    probes.append(grams[probe].view(np.int64))
+                    need = rule.prefix(n) - len(probes[-1])
+                    needs.append(need)
+                    if need > 0:
+                        others, order = grams[~probe], high[~probe]
+                        order = np.argsort(np.where(order < common, 0, order), kind="stable")  # plain ones by hash, then common ones
+                        rests.append(others[order[:need]].view(np.int64))
                     else:
-                        keys.append(np.zeros(0, np.int64))
-                bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys)))
-                made = [pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(cids, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid", "keys"])
+                        rests.append(empty)
+                made = [pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(cids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), _lists(probes), pa.array(needs, pa.int64()), _lists(rests)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid", "bands", "probes", "need", "rest"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, n bigint, sig binary, cid bigint, keys array<bigint>")
+    return source.mapInArrow(run, f"{typed}, n bigint, sig binary, cid bigint, bands array<int>, probes array<bigint>, need bigint, rest array<bigint>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+def prefixes(marked: DataFrame) -> DataFrame:
+    """(key, cid): every n-gram of every prefix that other sets might have in theirs, for each size band.
+
+    Which probes are shared is seen by bringing equal ones together; since common n-grams are no probes, none of them has
+    more than a small, fixed share of all rows."""
+    full = marked.where("n > 0")
+    same = Window.partitionBy("gram")
+    probes = full.select(F.explode("probes").alias("gram"), "cid")
+    probes = probes.withColumn("low", F.min("cid").over(same)).withColumn("high", F.max("cid").over(same)).where("low < high")
+    shared = probes.groupBy("cid").agg(F.sort_array(F.collect_set("gram")).alias("grams"))  # part of one set
+    classes = full.groupBy("cid").agg(F.first("need").alias("need"), F.first("bands").alias("bands"))
+    met = classes.join(shared, "cid").withColumn("take", F.least(F.col("need") + F.size("grams"), F.size("grams").cast("bigint")))
+    first = met.where("take > 0").select("cid", "bands", F.explode(F.slice("grams", F.lit(1), F.col("take").cast("int"))).alias("gram"))
+    rest = full.where("need > 0").select("cid", "bands", F.explode("rest").alias("gram"))
+    each = first.unionByName(rest).select("cid", "gram", F.explode("bands").alias("band"))
+    return each.select(F.xxhash64("gram", "band").alias("key"), "cid")
 
 
 # The trie -------------------------------------------------------------------------------------------------------------
@@ -258,9 +304,9 @@ def _tasks(members: DataFrame, rule: Rule, block: int) -> DataFrame:
 def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
     """Links (u, v) between signatures of different sets, enough to connect what is connected. ``marked`` is
     :func:`signed` with ``doc_id`` kept."""
-    prefixes = marked.where("n > 0").select(F.explode("keys").alias("key"), "cid")
-    ends = prefixes.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    near = prefixes.join(ends.select("key", "low"), "key").where("cid > low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
+    keys = stage(prefixes(marked), "prefixes")
+    ends = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    near = keys.join(ends.select("key", "low"), "key").where("cid > low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
     groups = components(near)
     classes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cid").alias("cid"))
     members = classes.join(groups.withColumnRenamed("node", "cid"), "cid")
@@ -273,9 +319,7 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
                 found = list(row_sets(part.column("__text"), rule))
                 right = [i for i, (g, s) in enumerate(zip(found, part.column("member").to_pylist())) if len(g) and signature(g) == s]
                 picked = part.take(pa.array(right, pa.int64()))
-                bounds = np.concatenate(([0], np.cumsum([len(found[i]) for i in right]))).astype(np.int32)
-                values = np.concatenate([found[i] for i in right]).view(np.int64) if right else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+                lists = _lists([found[i].view(np.int64) for i in right])
                 made = [picked.column("component"), picked.column("tasks"), picked.column("member"), lists]
                 yield pa.RecordBatch.from_arrays(made, names=["component", "tasks", "sig", "grams"])
 
@@ -303,10 +347,9 @@ def groups(docs: DataFrame, rule: Rule, keep: list[str] | None = None, text: str
     are linked. Rows may repeat, and rows of null or shared ids are told apart by their sets; ``component_id`` leaves
     null ids out and is null only where a group has no other. An empty table gives an empty one."""
     keep = keep or ["doc_id"]
-    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "group", "n", "sig", "cid", "keys"}:
+    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "group", "n", "sig", "cid", "bands", "probes", "need", "rest"}:
         raise ValueError("keep doc_id, and no column with the name of an added one")
-    level = levels(cell_counts(docs, rule, text))
-    marked = stage(signed(docs, keep, rule, level, text), "sets")
+    marked = stage(signed(docs, keep, rule, cell_counts(docs, rule, text), text), "sets")
     met = stage(links(docs, marked, rule, text, block), "links")
     roots = components(met)
     classes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
