@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import words
 
 #: Fixed values of the book collection: its banners, and the least size of a book in bytes.
-START, END = "*** START OF THE PROJECT GUTENBERG", "*** END OF"
+START, END = "*** START OF THE PROJECT GUTENBERG", "*** END OF THE PROJECT GUTENBERG"
 LEAST_BYTES = 20_000
 WIKI = "query struct<pages:map<string,struct<extract:string>>>"
 
