@@ -37,7 +37,7 @@ def paragraphs(text: Column) -> Column:
 def sentences(paragraph: Column) -> Column:
     """Sentences with their stops, white space collapsed."""
     cut = F.split(F.regexp_replace(collapsed(paragraph), SENTENCE_END, f"$1{CUT}"), CUT, -1)
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:
@@ -89,3 +89,4 @@ def first_sentence(paragraph: Column) -> Column:
 def split_list(csv: Column) -> Column:
     """A comma-separated list, trimmed, without empty entries."""
     return F.filter(F.transform(F.split(csv, ",", -1), trimmed), lambda x: x != "")
+

@@ -24,14 +24,13 @@ NON_PROSE = (
 )
 
 
-def term_counts(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, by: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(by, term, n, docs, total): occurrences, documents, and all occurrences of the group.
 
-    A document's terms are counted before they leave its row's task, so a frequent term costs the shuffle one row a
-    document at most, and less after partial aggregation."""
+    A document's terms are added up before the first shuffle (they are in one task), and a term's documents before the
+    second, so a frequent term costs one row a task."""
     kept = F.filter(tx.words(F.col(text)), lambda w: (F.length(w) >= 3) & ~F.contains(w, F.lit("'")) & ~w.isin(*NON_PROSE))
-    distinct = docs.select(*by, kept.alias("w")).select(*by, "w", F.explode(F.array_distinct("w")).alias("term"))
-    each = distinct.select(*by, "term", F.size(F.filter("w", lambda x: x == F.col("term"))).cast("bigint").alias("n"))
+    each = docs.select(*by, doc, F.explode(kept).alias("term")).groupBy(*by, doc, "term").agg(F.count("*").alias("n"))
     counted = each.groupBy(*by, "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
     return counted.join(F.broadcast(totals), by) if by else counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
@@ -45,6 +44,8 @@ def mine(counted: DataFrame, baseline: DataFrame, by: list[str], top_n: int = 40
     met = eligible.join(baseline, "term", "left").withColumn("base_total", total.scalar())
     share = (F.col("n").cast("double") / F.col("total")) / (F.coalesce(F.col("base"), F.lit(1)).cast("double") / F.col("base_total"))
     scored = met.withColumn("raw", F.log(share)).where("raw > 0")
-    order = Window.partitionBy(*by).orderBy(F.col("raw").desc(), "term")
+    # Within a group the score goes by this ratio, whose ties are exact.
+    ratio = F.col("n").cast("double") / F.coalesce(F.col("base"), F.lit(1))
+    order = Window.partitionBy(*by).orderBy(ratio.desc(), "term")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     return ranked.select(*by, F.col("rank").cast("bigint").alias("rank"), "term", F.col("raw").alias("score"), "n", "docs")

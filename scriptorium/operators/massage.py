@@ -68,7 +68,7 @@ def massage(drafts: DataFrame, profile: Profile, revise: Reviser | None, most: i
     if cut is None:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/scriptorium")
-        cut = DataFrame.checkpoint
+        cut = lambda df: df.checkpoint()
     steps = ("draft_id", "revision", "distance", "on_target", "hard_violations", "rule_violations", "accepted")
     open_, outcome, trajectory = drafts.select("draft_id", "text"), None, None
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.functions.num import rounded
 
 MIN_WORDS = 20
 
@@ -22,9 +23,8 @@ def chunks(docs: DataFrame, source: str, order: str, min_words: int = MIN_WORDS,
 
 
 def counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, n) from ``terms`` arrays, without a shuffle."""
-    each = rows.select(*keys, "terms", F.explode(F.array_distinct("terms")).alias("term"))
-    return each.select(*keys, "term", F.size(F.filter("terms", lambda x: x == F.col("term"))).cast("bigint").alias("n"))
+    """(keys, term, n) from ``terms`` arrays; a row's terms are added up before the shuffle."""
+    return rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def idf(chunk_rows: DataFrame) -> DataFrame:
@@ -46,6 +46,6 @@ def top(bank: DataFrame, weights: DataFrame, queries: DataFrame, query: str, k:
     asked = postings(queries.select(F.col(query).alias("query"), tx.retrieval_terms(F.col(text)).alias("terms")), ["query"], weights)
     met = asked.join(bank.withColumnRenamed("weight", "chunk_weight"), "term")
     scored = met.groupBy("query", "source", "para").agg(F.sum(F.col("weight") * F.col("chunk_weight")).alias("score")).where("score > 0")
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "source", "para")
+    order = Window.partitionBy("query").orderBy(rounded(F.col("score"), 9).desc(), "source", "para")  # sums of another order still tie
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return (ranked.where(F.col("rank") <= k) if k > 0 else ranked).select("query", "rank", "source", "para", "score")

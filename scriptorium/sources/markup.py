@@ -16,6 +16,7 @@ TAGS = (
 ).split()
 TAG = r"(?i)</?(?:" + "|".join(TAGS) + r")\b[^<>]*>"
 COMMENT = r"(?s)<!--.*?-->"
+FRONT_MATTER = r"(?s)\A---\n(?:(?:.*?\n)??---(?:\n|\z)|.*\z)"
 FIGURE = r"(?is)<figure\b[^>]*>.*?</figure>"
 
 #: Steps of each chain: pattern and replacement, in order. Patterns are in the part that Java and RE2 share.
@@ -57,7 +58,7 @@ def _chain(text: Column, steps: tuple) -> Column:
 
 def strip_front_matter(text: Column) -> Column:
     """Without a leading block between lines of three dashes (to the end, if it isn't closed)."""
-    return F.regexp_replace(text, r"\A---\n(?s:.*?)(?:(?<=\n)---(?:\n|\z)|\z)", "")
+    return F.regexp_replace(text, FRONT_MATTER, "")
 
 
 def markdown_to_prose(text: Column) -> Column:
