@@ -239,6 +239,12 @@ def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     group = np.arange(len(ordered))
     left = len(ordered) - 1  # links until all is one group
     marks = np.zeros(len(values), bool)
+    # Which sets hold an n-gram in their prefix (here: the rarest of the block first, so the last ranks).
+    size = np.array([len(r) for r in ordered])
+    heads = [r[len(r) - rule.prefix(len(r)) :] for r in ordered]
+    tokens, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    by_token = np.argsort(tokens, kind="stable")
+    owner, starts = owner[by_token], np.searchsorted(tokens[by_token], np.arange(len(values) + 1))
     begin, end, first, last, least, most, children = trie.begin, trie.end, trie.first, trie.last, trie.least, trie.most, trie.children
     links = []
     for x, mine in enumerate(ordered):
@@ -246,14 +252,22 @@ def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
             break
         n = len(mine)
         low, high = -(-rule.percent * n // 100), n * 100 // rule.percent
+        several = [owner[starts[t] : starts[t + 1]] for t in heads[x] if starts[t + 1] - starts[t] > 1]
+        if not several:
+            continue
+        found = np.zeros(len(ordered), bool)
+        found[np.concatenate(several)] = True
+        found[: x + 1] = False
+        possible = np.flatnonzero(found & (size >= low) & (size <= high) & (group != group[x]))
+        if not len(possible):
+            continue
         marks[mine] = True
         stack = [(c, 0) for c in children[0]]
         while stack:
             node, overlap = stack.pop()
-            if last[node] <= x or most[node] < low or least[node] > high:
-                continue
             a, b = first[node], last[node]
-            if (group[max(a, x + 1) : b + 1] == group[x]).all():
+            i = int(np.searchsorted(possible, a))
+            if i == len(possible) or possible[i] > b:
                 continue
             segment = ordered[a][begin[node] : end[node]]
             overlap += int(np.count_nonzero(marks[segment]))
@@ -267,6 +281,7 @@ def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
                 if group[y] != group[x] and overlap >= rule.needed(n, len(ordered[y])):
                     links.append((order[x], order[y]))
                     group[group == group[y]] = group[x]
+                    possible = possible[group[possible] != group[x]]
                     left -= 1
             stack.extend((c, overlap) for c in children[node])
         marks[mine] = False

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def settle(spark: SparkSession) -> None:
+    """Batches that Python gets are bounded by bytes: ten thousand long texts at once would be a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
