@@ -309,10 +309,12 @@ def _tasks(members: DataFrame, rule: Rule, block: int) -> DataFrame:
     mine = sized.join(parts.drop("grams"), ["component", "band"]).withColumn("part", F.pmod(F.xxhash64("sig"), "parts"))
     name = lambda b1, i1, b2, i2: F.concat_ws(":", b1, i1, b2, i2)
     band, part = F.col("band"), F.col("part")
-    own = F.transform(numbers(F.col("parts")), lambda j: name(band, F.least(part, j), band, F.greatest(part, j)))
+    # A task compares all that it holds, so a part needs one of its own only where it meets no other.
+    own = F.transform(F.filter(numbers(F.col("parts")), lambda j: j != part), lambda j: name(band, F.least(part, j), band, F.greatest(part, j)))
+    alone = (F.col("parts") == 1) & F.col("above").isNull() & F.col("below").isNull()
     up = F.transform(numbers(F.col("above")), lambda j: name(band, part, band + 1, j))
     down = F.transform(numbers(F.col("below")), lambda j: name(band - 1, j, band, part))
-    tasks = F.when(F.col("all_grams") <= block, F.array(F.lit("all"))).otherwise(F.concat(own, up, down))
+    tasks = F.when(F.col("all_grams") <= block, F.array(F.lit("all"))).when(alone, F.array(name(band, part, band, part))).otherwise(F.concat(own, up, down))
     return mine.withColumn("tasks", tasks).select("sig", "rep", "n", "component", "tasks")
 
 
