@@ -223,28 +223,46 @@ class Trie:
                 at = stop + 1
 
 
+def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Each set as sorted ranks, the commonest n-gram of all first (ties by hash), and how many different ones there are.
+
+    Ranks have 32 bits and temporaries go as soon as they can: an executor's tasks hold several blocks at once."""
+    every = np.concatenate(sets)
+    order = np.argsort(every)
+    every = every[order]
+    fresh = np.concatenate(([True], every[1:] != every[:-1]))
+    del every
+    counts = np.diff(np.flatnonzero(fresh), append=len(fresh)).astype(np.int32)
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    number = np.cumsum(fresh, dtype=np.int32)
+    number -= 1
+    ranks = np.empty(len(order), np.int32)
+    ranks[order] = rank[number]
+    ranked = np.split(ranks, np.cumsum([len(s) for s in sets])[:-1])
+    for one in ranked:
+        one.sort()
+    return ranked, len(counts)
+
+
 def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """Pairs of numbers of linked sets, as many as connect what is connected: a forest. Sets are hashes, not empty."""
     if len(sets) < 2:
         return []
-    every = np.concatenate(sets)
-    values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values))
-    ranked = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
-    ranked = [np.sort(r) for r in ranked]
+    ranked, different = _ranked(sets)
     order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
     ordered = [ranked[i] for i in order]
     trie = Trie(ordered)
     group = np.arange(len(ordered))
     left = len(ordered) - 1  # links until all is one group
-    marks = np.zeros(len(values), bool)
+    marks = np.zeros(different, bool)
     # Which sets hold an n-gram in their prefix (here: the rarest of the block first, so the last ranks).
     size = np.array([len(r) for r in ordered])
     heads = [r[len(r) - rule.prefix(len(r)) :] for r in ordered]
-    tokens, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    tokens, owner = np.concatenate(heads), np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads])
     by_token = np.argsort(tokens, kind="stable")
-    owner, starts = owner[by_token], np.searchsorted(tokens[by_token], np.arange(len(values) + 1))
+    owner, tokens = owner[by_token], tokens[by_token]
+    del by_token
     begin, end, first, last, least, most, children = trie.begin, trie.end, trie.first, trie.last, trie.least, trie.most, trie.children
     links = []
     for x, mine in enumerate(ordered):
@@ -252,7 +270,8 @@ def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
             break
         n = len(mine)
         low, high = -(-rule.percent * n // 100), n * 100 // rule.percent
-        several = [owner[starts[t] : starts[t + 1]] for t in heads[x] if starts[t + 1] - starts[t] > 1]
+        holders = zip(np.searchsorted(tokens, heads[x], "left"), np.searchsorted(tokens, heads[x], "right"))
+        several = [owner[a:b] for a, b in holders if b - a > 1]
         if not several:
             continue
         found = np.zeros(len(ordered), bool)
@@ -342,13 +361,14 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
 
     def joined(table: pa.Table) -> pa.Table:
         by_sig: dict[bytes, np.ndarray] = {}
-        lists = table.column("grams").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        for i, sig in enumerate(table.column("sig").to_pylist()):  # rows that share an id and a text come twice
-            by_sig[sig] = values[offsets[i] : offsets[i + 1]]
+        for batch in table.to_batches():  # views of the batches, no copies
+            lists = batch.column(batch.schema.get_field_index("grams"))
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for i, sig in enumerate(batch.column(batch.schema.get_field_index("sig")).to_pylist()):  # rows that share an id and a text come twice
+                by_sig[sig] = values[offsets[i] : offsets[i + 1]]
         names = sorted(by_sig)
         found = block_links([by_sig[s] for s in names], rule)
+        pa.default_memory_pool().release_unused()
         return pa.table({"u": pa.array([names[a] for a, _ in found], pa.binary()), "v": pa.array([names[b] for _, b in found], pa.binary())})
 
     spread = texts.select("__text", "component", "tasks", "member").mapInArrow(sets, "component bigint, tasks array<string>, sig binary, grams array<bigint>")
