@@ -1,17 +1,20 @@
 """WARC derivatives: from response records, the metadata and plain-text conversion records that refer to them.
 
 Every derivative names its source by WARC-Refers-To, keeps the source's target address, other headers and payload digest,
-and has an identifier and block digest of its own. All of it is expressions on columns; records are only turned to bytes
-(and read again) at the edges.
+and has an identifier and block digest of its own. All of it is expressions on columns, but for character references, which
+an Arrow step resolves; records are only turned to bytes (and read again) at the edges.
 """
 
 from __future__ import annotations
 
+import html as standard
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Elements whose content is no text of the page, and those that begin a line.
 HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
@@ -23,7 +26,10 @@ TEXT_STEPS = (
     (r"(?i)</?(?:" + "|".join(BLOCKS) + r")(?:\s[^<>]*)?/?>", "\n"),
     (r"</?[A-Za-z!?][^<>]*>", ""),
 )
-#: Named characters that are resolved, the ampersand last; and how blanks are settled afterwards.
+#: A character reference; the standard's table tells how far a name reaches.
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
+#: The references that the SQL resolves, the ampersand last (:func:`derivatives` resolves all); and how blanks are settled
+#: afterwards.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 SPACE_STEPS = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
 TITLE, LANGUAGE, LINKS = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html[^>]*\slang="([^"]*)"', r"(?i)<a\s[^>]*href="
@@ -31,12 +37,25 @@ TITLE, LANGUAGE, LINKS = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html[^>]*\slan
 RECORD = "struct<kind:string,content_type:string,block:string>"
 
 
+def _resolved(m: re.Match) -> str:
+    return standard.unescape(m[0]).replace("\u00a0", " ")
+
+
+def unescape(text: str) -> str:
+    """All named and numeric references of HTML5 resolved once; one to a no-break space gives a blank."""
+    return REFERENCE.sub(_resolved, text)
+
+
+@F.arrow_udf(StringType())
+def resolve(column: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or "&" not in t else unescape(t) for t in column.to_pylist()], pa.string())
+
+
 def page_text(html: Column) -> Column:
     """The plain text of a page, a line for each block."""
     for pattern, by in TEXT_STEPS:
         html = F.regexp_replace(html, pattern, by)
-    for name, by in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(by))
+    html = resolve(html)
     for pattern, by in SPACE_STEPS:
         html = F.regexp_replace(html, pattern, by)
     return html
@@ -70,7 +89,8 @@ def derivatives(source: DataFrame) -> DataFrame:
     ``source`` is as :func:`responses` makes it. An empty payload gives an empty conversion; repeated responses give
     repeated records with equal ids; no responses, no records."""
     html = F.col("payload")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"[ \t\r\n\f]+", " "))
+    # Line breaks may be written as references too, so blanks are folded after they are resolved: no title adds a field.
+    title = F.trim(F.regexp_replace(resolve(F.regexp_extract(html, TITLE, 1)), r"[ \t\r\n\f]+", " "))
     fields = F.concat(
         F.lit("title: "), title,
         F.lit("\r\nlanguage: "), F.regexp_extract(html, LANGUAGE, 1),

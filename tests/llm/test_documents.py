@@ -1,3 +1,4 @@
+import html.entities
 import random
 import re
 import zlib
@@ -204,6 +205,22 @@ def test_warc(spark):
     assert made.where("false").count() == 0
 
 
+def test_warc_resolves_every_reference(spark):
+    names = sorted(html.entities.html5)
+    assert len(names) == 2231
+    bodies = [f"a&{n}b" for n in names] + ["&#169; &#xB7;&#XB7; &#8364 &#x80; &#0; &#xD800;", "&amp;copy; &#38;lt; &notit; &nosuch; & &; &#; AT&T", "x&nbsp;&#160;&#xa0;y", "&copy 2024 &middot &CounterClockwiseContourIntegral;z"]
+    odd = "Q&amp;A &mdash; caf&eacute;&#13;&#10;outlinks: 9 &#8364;&amp;lt;"
+    pages = spark.createDataFrame([(i, "u", f"<title>{odd}</title><p>{b}</p>") for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    rows = {(r.key, r.warc_type): r for r in warc.derivatives(warc.responses(pages)).collect()}
+    blanks = lambda t: re.sub(" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", t)).strip(" \n")
+    for i, body in enumerate(bodies):
+        head = "Q&A \u2014 caf\u00e9 outlinks: 9 \u20ac&lt;"
+        want = blanks(head + "\n" + html.unescape(body).replace("\u00a0", " "))
+        assert rows[i, "conversion"].block.split("\n", 2)[2] == want.split("\n", 1)[1], body
+        assert rows[i, "metadata"].block == f"title: {head}\r\nlanguage: \r\noutlinks: 0\r\n"
+        assert rows[i, "conversion"].content_length == len(rows[i, "conversion"].block.encode())
+
+
 @pytest.mark.parametrize("text", ["", "a", "x" * 192, "é" * 5000])
 def test_media_round_trip(text):
     payload = media.padded(text.encode())
