@@ -5,11 +5,11 @@ one set alone, then those that sets share, by hash. The other hashes follow, the
 of a fixed number of cells over all texts tells them. Two sets that are similar enough share an n-gram among their first
 few in this order (their prefixes), so sets that share one, and are of similar size, are brought together as candidate
 groups, in blocks of bounded size. A set whose prefix is all its own is linked with nothing. In a block the sets go into a
-trie, commonest n-grams first. Each set then walks the trie: the overlap with a path counts for
+trie, commonest n-grams first. The sets then walk the trie: the overlap with a path counts for
 all sets below it, and a subtree is left where size, position and what remains can't reach the threshold any more.
 
-Equal sets (exact copies above all) are one class from the start and never meet as pairs. Within a block, sets that are
-known to be in one group already are not compared again: links are returned as far as groups need them.
+Equal sets (exact copies above all) are one class from the start and never meet as pairs. Every linked pair of different
+sets is found in one block and counted for both; pairs themselves are returned as far as groups need them.
 """
 
 from __future__ import annotations
@@ -245,66 +245,84 @@ def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     return ranked, len(counts)
 
 
-def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Pairs of numbers of linked sets, as many as connect what is connected: a forest. Sets are hashes, not empty."""
+def _gathered(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The values of several ranges, one range after the other."""
+    sizes = end - begin
+    return values[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
+def block_links(sets: list[np.ndarray], rule: Rule, part: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest of pairs of numbers of linked sets, which connects what is connected, and how many links each set has: all
+    pairs count. Sets are hashes, different and not empty. Sets of one part whose ``home`` is false are not compared with
+    each other (another task does).
+
+    All sets go down the trie together: at a node those stay whose overlap with its path, by size, position and what
+    remains, can still reach the threshold with a set below it."""
     if len(sets) < 2:
-        return []
+        return [], np.zeros(len(sets), np.int64)
     ranked, different = _ranked(sets)
     order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
     ordered = [ranked[i] for i in order]
+    del ranked
     trie = Trie(ordered)
-    group = np.arange(len(ordered))
-    left = len(ordered) - 1  # links until all is one group
-    marks = np.zeros(different, bool)
-    # Which sets hold an n-gram in their prefix (here: the rarest of the block first, so the last ranks).
-    size = np.array([len(r) for r in ordered])
-    heads = [r[len(r) - rule.prefix(len(r)) :] for r in ordered]
-    tokens, owner = np.concatenate(heads), np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads])
-    by_token = np.argsort(tokens, kind="stable")
-    owner, tokens = owner[by_token], tokens[by_token]
-    del by_token
-    begin, end, first, last, least, most, children = trie.begin, trie.end, trie.first, trie.last, trie.least, trie.most, trie.children
+    size = np.array([len(r) for r in ordered], np.int64)
+    begins = np.cumsum(size) - size
+    part = np.zeros(len(order), np.int64) if part is None else np.asarray(part)[order]
+    home = np.ones(len(order), bool) if home is None else np.asarray(home)[order]
+    # Every (set, n-gram) in one sorted array, and the sets that hold each n-gram.
+    owner = np.repeat(np.arange(len(ordered), dtype=np.int32), size)
+    tokens = np.concatenate(ordered)
+    keys = owner * np.int64(different) + tokens
+    owner = owner[np.argsort(tokens, kind="stable")]
+    held = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=different))))
+    del tokens
+
+    def needed(a: np.ndarray, b: int) -> np.ndarray:
+        return -(-rule.percent * (a + b) // (100 + rule.percent))
+
+    group, counts = np.arange(len(ordered)), np.zeros(len(ordered), np.int64)
     links = []
-    for x, mine in enumerate(ordered):
-        if not left:
-            break
-        n = len(mine)
-        low, high = -(-rule.percent * n // 100), n * 100 // rule.percent
-        holders = zip(np.searchsorted(tokens, heads[x], "left"), np.searchsorted(tokens, heads[x], "right"))
-        several = [owner[a:b] for a, b in holders if b - a > 1]
-        if not several:
-            continue
-        found = np.zeros(len(ordered), bool)
-        found[np.concatenate(several)] = True
-        found[: x + 1] = False
-        possible = np.flatnonzero(found & (size >= low) & (size <= high) & (group != group[x]))
-        if not len(possible):
+    every = np.arange(len(ordered))
+    stack = [(c, every, np.zeros(len(ordered), np.int64)) for c in trie.children[0]]
+    while stack:
+        node, mine, overlap = stack.pop()
+        first, last, depth = trie.first[node], trie.last[node], trie.end[node]
+        n = size[mine]
+        # A pair is met at the later of its sets.
+        stay = (mine < last) & (n * 100 >= rule.percent * trie.least[node]) & (n * rule.percent <= 100 * trie.most[node])
+        # Nothing that a set lacks of the path so far comes back: the most that can be shared is known before the segment.
+        stay &= overlap + trie.most[node] - trie.begin[node] >= needed(n, trie.least[node])
+        mine, overlap = mine[stay], overlap[stay]
+        if not len(mine):
             continue
-        marks[mine] = True
-        stack = [(c, 0) for c in children[0]]
-        while stack:
-            node, overlap = stack.pop()
-            a, b = first[node], last[node]
-            i = int(np.searchsorted(possible, a))
-            if i == len(possible) or possible[i] > b:
-                continue
-            segment = ordered[a][begin[node] : end[node]]
-            overlap += int(np.count_nonzero(marks[segment]))
-            depth, top = end[node], min(most[node], high)
-            passed = int(np.searchsorted(mine, segment[-1], "right"))
-            if overlap + top - depth < rule.needed(n, top) or overlap + n - passed < rule.needed(n, max(least[node], low)):
-                continue
-            for y in range(max(a, x + 1), b + 1):
-                if len(ordered[y]) > depth:
-                    break
-                if group[y] != group[x] and overlap >= rule.needed(n, len(ordered[y])):
-                    links.append((order[x], order[y]))
-                    group[group == group[y]] = group[x]
-                    possible = possible[group[possible] != group[x]]
-                    left -= 1
-            stack.extend((c, overlap) for c in children[node])
-        marks[mine] = False
-    return links
+        segment = ordered[first][trie.begin[node] : depth].astype(np.int64)
+        begin, end = held[segment], held[segment + 1]
+        if len(mine) * len(segment) * 30 < int((end - begin).sum()):
+            wanted = (mine[:, None] * different + segment).ravel()
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            overlap = overlap + (keys[at] == wanted).reshape(len(mine), -1).sum(1)
+        else:
+            overlap = overlap + np.bincount(_gathered(owner, begin, end), minlength=len(ordered))[mine]
+        n = size[mine]
+        if size[first] == depth:  # one set at most ends here
+            linked = mine[(mine < first) & (overlap >= needed(n, depth)) & ((part[mine] != part[first]) | home[first])]
+            counts[linked] += 1
+            counts[first] += len(linked)
+            fresh, where = np.unique(group[linked], return_index=True)
+            fresh, where = fresh[fresh != group[first]], where[fresh != group[first]]
+            if len(fresh):
+                links += [(order[x], order[first]) for x in linked[where]]
+                group[np.isin(group, fresh)] = group[first]
+        if trie.children[node]:
+            low = trie.least[node]
+            passed = np.searchsorted(keys, mine * different + segment[-1], "right") - begins[mine]
+            stay = (overlap + trie.most[node] - depth >= needed(n, low)) & (overlap + n - passed >= needed(n, low))
+            mine, overlap = mine[stay], overlap[stay]
+            if len(mine):
+                stack.extend((c, mine, overlap) for c in trie.children[node])
+    found = np.zeros(len(order), np.int64)
+    found[order] = counts
+    return links, found
 
 
 # The join -------------------------------------------------------------------------------------------------------------
@@ -313,7 +331,8 @@ def block_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
 def _tasks(members: DataFrame, rule: Rule, block: int) -> DataFrame:
     """Adds ``tasks``: the blocks of its candidate group that each set takes part in. A small group is one block. A larger
     one is cut into size bands of ratio 1 / threshold, and those by hash into parts; a part meets the parts of its own
-    band and of the two next to it, since no others hold sets of similar size."""
+    band and of the two next to it, since no others hold sets of similar size. ``side`` tells a component's parts apart;
+    pairs of one part belong to the first of its tasks, all others meet in one task only."""
     ratio = float(np.log(100 / rule.percent)) if rule.percent < 100 else 0.01
     sized = members.withColumn("band", F.floor(F.log("n") / ratio + 1e-9))
     bands = sized.groupBy("component", "band").agg(F.sum("n").alias("grams"))
@@ -334,12 +353,12 @@ def _tasks(members: DataFrame, rule: Rule, block: int) -> DataFrame:
     up = F.transform(numbers(F.col("above")), lambda j: name(band, part, band + 1, j))
     down = F.transform(numbers(F.col("below")), lambda j: name(band - 1, j, band, part))
     tasks = F.when(F.col("all_grams") <= block, F.array(F.lit("all"))).when(alone, F.array(name(band, part, band, part))).otherwise(F.concat(own, up, down))
-    return mine.withColumn("tasks", tasks).select("sig", "rep", "n", "component", "tasks")
+    return mine.withColumn("tasks", tasks).withColumn("side", F.xxhash64("band", "part")).select("sig", "rep", "n", "component", "tasks", "side")
 
 
 def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
-    """Links (u, v) between signatures of different sets, enough to connect what is connected. ``marked`` is
-    :func:`signed` with ``doc_id`` kept."""
+    """Links (u, v) between signatures of different sets, enough to connect what is connected, and rows (u, null, n) whose
+    sum for a signature is the number of different sets linked with it. ``marked`` is :func:`signed` with ``doc_id`` kept."""
     keys = stage(prefixes(marked), "prefixes")
     ends = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     near = keys.join(ends.select("key", "low"), "key").where("cid > low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
@@ -356,44 +375,53 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
                 right = [i for i, (g, s) in enumerate(zip(found, part.column("member").to_pylist())) if len(g) and signature(g) == s]
                 picked = part.take(pa.array(right, pa.int64()))
                 lists = _lists([found[i].view(np.int64) for i in right])
-                made = [picked.column("component"), picked.column("tasks"), picked.column("member"), lists]
-                yield pa.RecordBatch.from_arrays(made, names=["component", "tasks", "sig", "grams"])
+                made = [picked.column("component"), picked.column("tasks"), picked.column("side"), picked.column("member"), lists]
+                yield pa.RecordBatch.from_arrays(made, names=["component", "tasks", "side", "sig", "grams"])
 
     def joined(table: pa.Table) -> pa.Table:
-        by_sig: dict[bytes, np.ndarray] = {}
+        by_sig: dict[bytes, tuple[np.ndarray, int, bool]] = {}
         for batch in table.to_batches():  # views of the batches, no copies
             lists = batch.column(batch.schema.get_field_index("grams"))
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sides, homes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("side", "home"))
             for i, sig in enumerate(batch.column(batch.schema.get_field_index("sig")).to_pylist()):  # rows that share an id and a text come twice
-                by_sig[sig] = values[offsets[i] : offsets[i + 1]]
+                by_sig[sig] = values[offsets[i] : offsets[i + 1]], sides[i], homes[i]
         names = sorted(by_sig)
-        found = block_links([by_sig[s] for s in names], rule)
+        own, sides, homes = ([by_sig[s][k] for s in names] for k in range(3))
+        found, counts = block_links(own, rule, np.array(sides, np.int64), np.array(homes, bool))
         pa.default_memory_pool().release_unused()
-        return pa.table({"u": pa.array([names[a] for a, _ in found], pa.binary()), "v": pa.array([names[b] for _, b in found], pa.binary())})
+        some = np.flatnonzero(counts)
+        u, v = [names[a] for a, _ in found] + [names[i] for i in some], [names[b] for _, b in found] + [None] * len(some)
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "n": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})
 
-    spread = texts.select("__text", "component", "tasks", "member").mapInArrow(sets, "component bigint, tasks array<string>, sig binary, grams array<bigint>")
-    blocks = spread.select("component", F.explode("tasks").alias("task"), "sig", "grams")
-    return blocks.groupBy("component", "task").applyInArrow(joined, "u binary, v binary")
+    spread = texts.select("__text", "component", "tasks", "side", "member").mapInArrow(sets, "component bigint, tasks array<string>, side bigint, sig binary, grams array<bigint>")
+    blocks = spread.select("component", F.posexplode("tasks").alias("place", "task"), "side", "sig", "grams")
+    blocks = blocks.select("component", "task", "side", (F.col("place") == 0).alias("home"), "sig", "grams")
+    return blocks.groupBy("component", "task").applyInArrow(joined, "u binary, v binary, n bigint")
 
 
 def groups(docs: DataFrame, rule: Rule, keep: list[str] | None = None, text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
     """Each row's kept columns (``doc_id`` among them) with ``n_shingles`` (size of its set), ``component_id`` (the least
-    doc_id that links reach from it) and ``group`` (bytes that name the group; null for an empty set).
+    doc_id that links reach from it), ``class_id`` (the least doc_id with an equal set), ``n_links`` (how many different
+    sets are linked with its own; exact) and ``group`` (bytes that name the group; null for an empty set).
 
     A null text, or one without words, has an empty set: it is linked with nothing and is its own component. Equal sets
-    are linked. Rows may repeat, and rows of null or shared ids are told apart by their sets; ``component_id`` leaves
-    null ids out and is null only where a group has no other. An empty table gives an empty one."""
+    are linked, but count in ``n_links`` as one. Rows may repeat, and rows of null or shared ids are told apart by their sets; ``component_id``
+    and ``class_id`` leave null ids out and are null only where there is no other. An empty table gives an empty one."""
     keep = keep or ["doc_id"]
-    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "group", "n", "sig", "cid", "bands", "probes", "need", "rest"}:
+    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "class_id", "n_links", "group", "n", "sig", "cid", "bands", "probes", "need", "rest"}:
         raise ValueError("keep doc_id, and no column with the name of an added one")
     marked = stage(signed(docs, keep, rule, cell_counts(docs, rule, text), text), "sets")
     met = stage(links(docs, marked, rule, text, block), "links")
-    roots = components(met)
+    roots = components(met.where("v is not null").select("u", "v"))
+    linked = met.where("v is null").groupBy(F.col("u").alias("sig")).agg(F.sum("n").alias("n_links"))
     classes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    placed = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("group"))
+    placed = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").join(linked, "sig", "left")
+    placed = placed.select("sig", "rep", F.coalesce("component", "sig").alias("group"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     least = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
-    where = placed.join(least, "group").select("sig", "group", "component_id")
+    where = placed.join(least, "group").select("sig", "group", "component_id", F.col("rep").alias("class_id"), "n_links")
     columns = [F.col(f"`{c}`") for c in keep]
-    with_set = marked.where("n > 0").join(where, "sig").select(*columns, F.col("n").alias("n_shingles"), "component_id", "group")
-    without = marked.where("n = 0").select(*columns, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("group"))
-    return with_set.unionByName(without)
+    added = ["component_id", "class_id", "n_links", "group"]
+    with_set = marked.where("n > 0").join(where, "sig").select(*columns, F.col("n").alias("n_shingles"), *added)
+    alone = [F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("binary").alias("group")]
+    return with_set.unionByName(marked.where("n = 0").select(*columns, F.col("n").alias("n_shingles"), *alone))

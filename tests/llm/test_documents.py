@@ -110,6 +110,30 @@ def test_join_against_brute_force(spark, percent, block):
     assert got == brute(docs, 3, percent)
 
 
+@pytest.mark.parametrize("percent, block", [(90, 400), (70, 2500), (70, 10**6)])
+def test_join_counts_every_link(spark, percent, block):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(80)] = f"x{rng.randint(0, 9)}"
+        docs.append((i, " ".join(w[rng.randint(0, 6) : rng.randint(55, 80)]) if i % 20 else ["", "a b"][i % 40 > 0]))
+    docs += [(500 + i, t) for i, t in docs[1:30]]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.groups(frame, ngram_join.Rule(3, percent), block=block).collect()}
+    sets = {}
+    for d, t in docs:
+        w = t.split()
+        sets[d] = frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if w else frozenset()
+    different = set(sets.values()) - {frozenset()}
+    n = {a: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in different) for a in different}
+    least = {a: min(d for d in sets if sets[d] == a) for a in different}
+    assert got == {d: (least[s], n[s]) if s else (d, 0) for d, s in sets.items()}
+    assert max(n.values()) > 2  # more than a forest's
+
+
 def test_join_cases(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "A b c D"), (None, None), (None, "lone words here"), (3, "")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
