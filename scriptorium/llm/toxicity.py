@@ -34,15 +34,20 @@ LEET = {
 }
 _SIGN = "0-9@$!|+(<€£¡"
 _LETTER = "A-Za-z"
-#: Stretches worth decoding: signs between letters or before one; letters set apart; a letter three times in a row.
+_ANY = _LETTER + _SIGN
+#: Stretches worth decoding, of any length: letters or signs (each may be repeated) set apart by runs of gaps; else signs
+#: right before letters or after the last one, or a letter three times in a row, where dots and the like may stand within.
 _SUSPECT = re.compile(
-    rf"(?<![{_LETTER}{_SIGN}])(?:"
-    rf"(?:[{_LETTER}][ .\-_*]){{3,}}[{_LETTER}](?![{_LETTER}])"
-    rf"|(?=[{_LETTER}]*(?:[{_SIGN}]+[{_LETTER}]|(?<=[{_LETTER}])[0134578$]{{1,2}}(?![{_LETTER}{_SIGN}])|([{_LETTER}])\1\1))"
-    rf"(?=[{_SIGN}]*[{_LETTER}])[{_LETTER}{_SIGN}]{{3,32}}(?![{_LETTER}{_SIGN}])"
+    rf"(?<![{_ANY}])(?:"
+    rf"([{_ANY}])\1*+(?:[ .\-_*]++([{_ANY}])\2*+){{3,}}(?![{_ANY}])"
+    rf"|(?=(?:[{_ANY}]|[.\-_*]++(?=[{_ANY}]))*?(?:[{_SIGN}][{_LETTER}]|(?<=[{_LETTER}])[0134578$]{{1,2}}(?![{_ANY}])|([{_LETTER}])\3\3))"
+    rf"[{_ANY}]++(?:[.\-_*]++[{_ANY}]++)*+"
     rf")",
     re.IGNORECASE,
 )
+_LETTERS, _ALL = re.compile(f"[{_LETTER}]"), re.compile(f"[{_ANY}]")
+#: Longer stretches are not kept in the cache.
+CACHED = 64
 
 
 # The language model ---------------------------------------------------------------------------------------------------
@@ -95,8 +100,8 @@ class Decoder:
         self.logs = np.log((n + 20 * lower[None]) / (n.sum(2, keepdims=True) + 20))
 
     def decode(self, stretch: str) -> str:
-        """The likeliest letters. States are the last two letters written; a sign may be a look-alike or nothing, and a
-        letter equal to the one before may be an extra."""
+        """The likeliest letters. States are the last two letters written; a sign may be a look-alike, a run of gaps nothing
+        or the border of two words, and a letter or sign equal to the one before may be an extra."""
         logs = self.logs
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
@@ -104,8 +109,15 @@ class Decoder:
             nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
             letters = [(sign, self.KEPT)] if "a" <= sign <= "z" else [(c, self.LIKE) for c in LEET.get(sign, "")]
             options = [(ord(c) - 96, cost) for c, cost in letters]
-            skip = LEET.get(sign) == "" or sign == before
+            gap = LEET.get(sign) == ""
+            if gap and LEET.get(before) == "":
+                continue
+            skip = gap or sign == before
             for (a, b), (score, path) in best.items():
+                if gap and b:
+                    got = score + logs[a, b, 0]
+                    if got > nxt.get((0, 0), (-math.inf,))[0]:
+                        nxt[0, 0] = (got, (path, -64))
                 for c, cost in options:
                     got = score + cost + logs[a, b, c]
                     if got > nxt.get((b, c), (-math.inf,))[0]:
@@ -130,13 +142,15 @@ _SIGNS[[ord(c) for c in "0123456789@$!|+(<"]] = True
 _SIGNS[0x80:] = [0xA1 <= b <= 0xA3 or b == 0xAC for b in range(0x80, 0x100)]  # last bytes of those beyond ASCII
 _LAST_SIGNS = np.zeros(256, bool)
 _LAST_SIGNS[[ord(c) for c in "0134578$"]] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE2, 0x82]] = True
 _GAPS = np.zeros(256, bool)
 _GAPS[[ord(c) for c in " .-_*"]] = True
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows that may hold such a stretch: a sign right before a letter or right after one, a letter three times in a row,
-    or letters set apart. One vectorised look; what it flags is searched properly."""
+    or letters and signs set apart. One vectorised look; what it flags is searched properly."""
     letter, sign, gap = CODES[data] > 0, _SIGNS[data], _GAPS[data]
     low = data | 0x20
     hit = np.zeros(len(data), bool)
@@ -144,8 +158,15 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hit[1:] |= letter[1:] & sign[:-1]
         hit[:-1] |= letter[:-1] & _LAST_SIGNS[data[1:]]
         hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    if len(data) > 6:
-        hit[6:] |= letter[6:] & gap[5:-1] & letter[4:-2] & gap[3:-3] & letter[2:-4] & gap[1:-5] & letter[:-6]
+    # Set apart: repeats and runs of gaps as one, without the first bytes of signs beyond ASCII.
+    kept = np.flatnonzero(~_LEADS[data])
+    if len(kept) > 6:
+        same = (low[kept[1:]] == low[kept[:-1]]) | (gap[kept[1:]] & gap[kept[:-1]])
+        kept = kept[np.concatenate(([True], ~same))]
+    if len(kept) > 6:
+        x, g, c = (letter | sign)[kept], gap[kept], letter[kept]
+        apart = x[6:] & g[5:-1] & x[4:-2] & g[3:-3] & x[2:-4] & g[1:-5] & x[:-6]
+        hit[kept[6:][apart & (c[6:] | c[4:-2] | c[2:-4] | c[:-6])]] = True
     where = np.flatnonzero(hit)
     return np.searchsorted(where, offsets[1:]) > np.searchsorted(where, offsets[:-1])
 
@@ -156,7 +177,9 @@ class Restorer:
         self.decode = lru_cache(maxsize=100_000)(self.decoder.decode)
 
     def _one(self, m: re.Match) -> str:
-        return self.decode(m[0])
+        if len(_LETTERS.findall(m[0])) < (2 if m[1] else 1) or len(_ALL.findall(m[0])) < 3:  # numbers, and too short
+            return m[0]
+        return self.decode(m[0]) if len(m[0]) <= CACHED else self.decoder.decode(m[0])
 
     def restore(self, text: str) -> str:
         return _SUSPECT.sub(self._one, text)

@@ -210,6 +210,23 @@ def test_deobfuscation(spark):
     assert list(flags) == [True, False, True, True]
 
 
+def test_deobfuscation_of_combined_forms(spark):
+    docs = spark.createDataFrame([("the idiot is stupid and a loser in the house",)] * 50, "text string")
+    counted = toxicity.character_counts(docs).toArrow()
+    counts = np.zeros(27**3, np.int64)
+    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    restore = toxicity.Restorer(counts).restore
+    stupid = ["st" + "u" * 500 + "pid", "$t" + "u" * 40 + "p1d", "s 7 u p 1 d", "s t u p 1 d", "s  t  u  p  i  d", "s - t - u - p - i - d", "ss  7 uuu . p 1 d", "$.7.u.p.1.d", "S T U P 1 D", "st.up1d"]
+    idiot = ["1d.10t", "1 d 1 0 t", "i  d  i  o  t", "1 - d - 1 - 0 - t", "1d_1-0t", "¡ d ¡ 0 t"]
+    for odd, want in [(o, "stupid") for o in stupid] + [(o, "idiot") for o in idiot]:
+        text = f"the {odd} is"
+        assert restore(text) == f"the {want} is", odd
+        assert toxicity.suspicious(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0], odd
+    for plain in ["1 2 3 4 5", "in the house. The loser", "10.20.30"]:
+        assert restore(plain) == plain
+    assert len(restore("x1" * 100_000)) > 0
+
+
 # WARC and media
 
 
