@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import U64, flat, mix, shingle_hashes, slices
 from .components import components
+from .members import perhaps_among
 from .workspace import stage
 
 #: Cells of the count table (the only thing that is sent to every task).
@@ -32,6 +33,8 @@ CELL_BITS = 18
 SPARE, COMMON = 1.5, 16
 #: n-grams in a block; larger candidate groups are joined block by block.
 BLOCK_GRAMS = 2_000_000
+#: What the bits of a block's common n-grams may take.
+BITMAP_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -223,8 +226,9 @@ class Trie:
                 at = stop + 1
 
 
-def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """Each set as sorted ranks, the commonest n-gram of all first (ties by hash), and how many different ones there are.
+def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """Each set as sorted ranks, the commonest n-gram of all first (ties by hash), how many different ones there are, and
+    how many of them more than one set holds.
 
     Ranks have 32 bits and temporaries go as soon as they can: an executor's tasks hold several blocks at once."""
     every = np.concatenate(sets)
@@ -242,13 +246,62 @@ def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     ranked = np.split(ranks, np.cumsum([len(s) for s in sets])[:-1])
     for one in ranked:
         one.sort()
-    return ranked, len(counts)
-
-
-def _gathered(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The values of several ranges, one range after the other."""
-    sizes = end - begin
-    return values[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+    return ranked, len(counts), int((counts > 1).sum())
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+
+
+class Holders:
+    """Which sets hold each n-gram: bits for the commonest n-grams, a word for 64 of them and each set; lists for the rest.
+    An n-gram of one set alone is in neither, as nothing shares it."""
+
+    def __init__(self, ordered: list[np.ndarray], shared: int) -> None:
+        rows = len(ordered)
+        owner = np.repeat(np.arange(rows, dtype=np.int32), [len(r) for r in ordered])
+        tokens = np.concatenate(ordered)
+        words = min(-(-shared // 64), max(1, BITMAP_BYTES // (8 * rows)))
+        self.in_bits, self.shared = min(words * 64, shared), shared
+        self.bits = np.zeros((words, rows), np.uint64)
+        low = np.flatnonzero(tokens < self.in_bits)
+        if len(low):
+            held, word = owner[low], tokens[low] >> 6
+            starts = _runs(word.astype(np.int64) * rows + held)  # a set's ranks are in order
+            self.bits[word[starts], held[starts]] = np.bitwise_or.reduceat(U64(1) << (tokens[low] & 63).astype(np.uint64), starts)
+        self.before = np.zeros((words + 1, rows), np.int32)
+        np.cumsum(np.bitwise_count(self.bits), 0, dtype=np.int32, out=self.before[1:])
+        high = np.flatnonzero((tokens >= self.in_bits) & (tokens < shared))
+        high = high[np.argsort(tokens[high], kind="stable")]
+        self.owner = owner[high]
+        self.at = np.searchsorted(tokens[high], np.arange(self.in_bits, shared + 1))
+
+    def passed(self, rank: int, mine: np.ndarray) -> np.ndarray:
+        """How many n-grams up to this rank (one of those in bits) each of these sets holds."""
+        word, mask = rank >> 6, U64((2 << (rank & 63)) - 1)
+        return self.before[word, mine] + np.bitwise_count(self.bits[word, mine] & mask)
+
+    def overlap(self, segment: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """How many n-grams of a segment (ranks in order) each of these sets (numbers in order) holds."""
+        found = np.zeros(len(mine), np.int64)
+        low, end = np.searchsorted(segment, [self.in_bits, self.shared])
+        if low:
+            word = segment[:low] >> 6
+            starts = _runs(word)
+            masks = np.bitwise_or.reduceat(U64(1) << (segment[:low] & 63).astype(np.uint64), starts)[:, None]
+            word = word[starts]
+            step = max(1, (1 << 18) // len(mine))
+            for i in range(0, len(word), step):
+                found += np.bitwise_count(self.bits[word[i : i + step, None], mine] & masks[i : i + step]).sum(0, dtype=np.int64)
+        if end > low:
+            numbers = segment[low:end] - self.in_bits
+            begin, stop = self.at[numbers], self.at[numbers + 1]
+            sizes = stop - begin
+            holders = self.owner[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+            place = np.minimum(np.searchsorted(mine, holders), len(mine) - 1)
+            found += np.bincount(place[mine[place] == holders], minlength=len(mine))
+        return found
 
 
 def block_links(sets: list[np.ndarray], rule: Rule, part: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -260,66 +313,69 @@ def block_links(sets: list[np.ndarray], rule: Rule, part: np.ndarray | None = No
     remains, can still reach the threshold with a set below it."""
     if len(sets) < 2:
         return [], np.zeros(len(sets), np.int64)
-    ranked, different = _ranked(sets)
+    ranked, different, shared = _ranked(sets)
     order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
     ordered = [ranked[i] for i in order]
     del ranked
-    trie = Trie(ordered)
+    trie, holders = Trie(ordered), Holders(ordered, shared)
     size = np.array([len(r) for r in ordered], np.int64)
     begins = np.cumsum(size) - size
     part = np.zeros(len(order), np.int64) if part is None else np.asarray(part)[order]
     home = np.ones(len(order), bool) if home is None else np.asarray(home)[order]
-    # Every (set, n-gram) in one sorted array, and the sets that hold each n-gram.
-    owner = np.repeat(np.arange(len(ordered), dtype=np.int32), size)
-    tokens = np.concatenate(ordered)
-    keys = owner * np.int64(different) + tokens
-    owner = owner[np.argsort(tokens, kind="stable")]
-    held = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=different))))
-    del tokens
+    keys = np.repeat(np.arange(len(ordered)), size) * np.int64(different) + np.concatenate(ordered)  # (set, n-gram), in order
 
     def needed(a: np.ndarray, b: int) -> np.ndarray:
         return -(-rule.percent * (a + b) // (100 + rule.percent))
 
-    group, counts = np.arange(len(ordered)), np.zeros(len(ordered), np.int64)
+    above = np.arange(len(ordered))  # union-find
+
+    def roots(of: np.ndarray) -> np.ndarray:
+        at = above[of]
+        while True:
+            up = above[at]
+            if (up == at).all():
+                above[of] = at
+                return at
+            at = up
+
+    counts = np.zeros(len(ordered), np.int64)
     links = []
     every = np.arange(len(ordered))
-    stack = [(c, every, np.zeros(len(ordered), np.int64)) for c in trie.children[0]]
+    stack = [(c, every, np.zeros(len(ordered), np.int64)) for c in reversed(trie.children[0])]
     while stack:
         node, mine, overlap = stack.pop()
         first, last, depth = trie.first[node], trie.last[node], trie.end[node]
-        n = size[mine]
         # A pair is met at the later of its sets.
-        stay = (mine < last) & (n * 100 >= rule.percent * trie.least[node]) & (n * rule.percent <= 100 * trie.most[node])
+        upto = int(np.searchsorted(mine, last))
+        mine, overlap = mine[:upto], overlap[:upto]
+        n = size[mine]
+        stay = (n * 100 >= rule.percent * trie.least[node]) & (n * rule.percent <= 100 * trie.most[node])
         # Nothing that a set lacks of the path so far comes back: the most that can be shared is known before the segment.
         stay &= overlap + trie.most[node] - trie.begin[node] >= needed(n, trie.least[node])
         mine, overlap = mine[stay], overlap[stay]
         if not len(mine):
             continue
-        segment = ordered[first][trie.begin[node] : depth].astype(np.int64)
-        begin, end = held[segment], held[segment + 1]
-        if len(mine) * len(segment) * 30 < int((end - begin).sum()):
-            wanted = (mine[:, None] * different + segment).ravel()
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            overlap = overlap + (keys[at] == wanted).reshape(len(mine), -1).sum(1)
-        else:
-            overlap = overlap + np.bincount(_gathered(owner, begin, end), minlength=len(ordered))[mine]
+        segment = ordered[first][trie.begin[node] : depth]
+        overlap = overlap + holders.overlap(segment, mine)
         n = size[mine]
         if size[first] == depth:  # one set at most ends here
             linked = mine[(mine < first) & (overlap >= needed(n, depth)) & ((part[mine] != part[first]) | home[first])]
             counts[linked] += 1
             counts[first] += len(linked)
-            fresh, where = np.unique(group[linked], return_index=True)
-            fresh, where = fresh[fresh != group[first]], where[fresh != group[first]]
-            if len(fresh):
-                links += [(order[x], order[first]) for x in linked[where]]
-                group[np.isin(group, fresh)] = group[first]
+            if len(linked):
+                found, where = np.unique(roots(linked), return_index=True)
+                own = roots(np.array([first]))[0]
+                fresh = found != own
+                links += [(order[x], order[first]) for x in linked[where[fresh]]]
+                above[found[fresh]] = own
         if trie.children[node]:
             low = trie.least[node]
-            passed = np.searchsorted(keys, mine * different + segment[-1], "right") - begins[mine]
+            end = int(segment[-1])
+            passed = holders.passed(end, mine) if end < holders.in_bits else np.searchsorted(keys, mine * different + end, "right") - begins[mine]
             stay = (overlap + trie.most[node] - depth >= needed(n, low)) & (overlap + n - passed >= needed(n, low))
             mine, overlap = mine[stay], overlap[stay]
             if len(mine):
-                stack.extend((c, mine, overlap) for c in trie.children[node])
+                stack.extend((c, mine, overlap) for c in reversed(trie.children[node]))
     found = np.zeros(len(order), np.int64)
     found[order] = counts
     return links, found
@@ -365,8 +421,10 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
     groups = components(near)
     classes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cid").alias("cid"))
     members = classes.join(groups.withColumnRenamed("node", "cid"), "cid")
-    chosen = _tasks(stage(members, "members"), rule, block).withColumnRenamed("sig", "member")
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text")).join(chosen, F.col("__id").eqNullSafe(F.col("rep")))
+    members = stage(members, "members")
+    chosen = _tasks(members, rule, block).withColumnRenamed("sig", "member")
+    texts = perhaps_among(docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text")), F.col("__id"), members, F.col("rep"))
+    texts = texts.join(chosen.hint("merge"), F.col("__id").eqNullSafe(F.col("rep")))  # the same plan at every size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
