@@ -1,12 +1,13 @@
 """Exact Jaccard join of word n-gram sets by prefix trees, and the groups that its links make.
 
-All n-grams have one global order. First come probes, a fixed share of all hashes without the very common ones: those of
-one set alone, then those that sets share, by hash. The other hashes follow, then the very common ones, as a count table
-of a fixed number of cells over all texts tells them. Two sets that are similar enough share an n-gram among their first
-few in this order (their prefixes), so sets that share one, and are of similar size, are brought together as candidate
-groups, in blocks of bounded size. A set whose prefix is all its own is linked with nothing. In a block the sets go into a
-trie, commonest n-grams first. The sets then walk the trie: the overlap with a path counts for
-all sets below it, and a subtree is left where size, position and what remains can't reach the threshold any more.
+Sets that may be linked are brought together first. All n-grams are dealt by hash into one more part than two linked sets
+of a size band can differ in n-grams, so such sets agree on a whole part: the keys of a set are its parts. Very common
+n-grams, as a count table of a fixed number of cells over all texts tells them, are left out of the parts, and parts
+without any n-gram are no keys; a few more parts make up for those, and sets that have still more of them get keys of a
+second kind (:func:`part_keys`). Sets with a key in common make candidate groups, which are joined in blocks of bounded
+size. In a block the n-grams have one order, the commonest first, and the sets go into a trie in that order. The sets then
+walk the trie: the overlap with a path counts for all sets below it, and a subtree is left where size, position and what
+remains can't reach the threshold any more.
 
 Equal sets (exact copies above all) are one class from the start and never meet as pairs. Every linked pair of different
 sets is found in one block and counted for both; pairs themselves are returned as far as groups need them.
@@ -14,7 +15,7 @@ sets is found in one block and counted for both; pairs themselves are returned a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,14 @@ from .components import components
 from .members import perhaps_among
 from .workspace import stage
 
-#: Cells of the count table (the only thing that is sent to every task).
-CELL_BITS = 18
-#: Probes are this many times the share of a set that a linked one may lack; cells hit so many times the mean are common.
-SPARE, COMMON = 1.5, 16
+#: Cells of the count table, dealt into chunks; a bit of each is all that is sent to every task.
+CELL_BITS, CHUNK_BITS = 20, 14
+#: Cells with so many times the mean, and so many standard deviations of chance more, are common.
+COMMON, CHANCE = 1.5, 6
+#: Tasks whose counts are added up at once.
+TASKS = 64
+#: The share of a set's n-grams that may be common without more keys.
+SPARE = 0.2
 #: n-grams in a block; larger candidate groups are joined block by block.
 BLOCK_GRAMS = 2_000_000
 #: What the bits of a block's common n-grams may take.
@@ -48,15 +53,6 @@ class Rule:
         """The least intersection of linked sets of these sizes: 100 * i >= percent * (a + b - i)."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def prefix(self, n: int) -> int:
-        """How many of the first n-grams must hold one of any linked set's."""
-        return n - -(-self.percent * n // 100) + 1
-
-    @property
-    def probe_below(self) -> int:
-        """Hashes below this are probes."""
-        return min((1 << 64) - 1, int((1 << 64) * SPARE * (100 - self.percent) / 100))
-
     def bands(self, n: int) -> list[int]:
         """Size bands of a set and of the larger ones it may link with; linked sets have one in common."""
         edges = _edges(self.percent)
@@ -64,7 +60,23 @@ class Rule:
         return list(range(int(low), int(high) + 1))
 
 
+    def parts(self, band: int) -> tuple[int, int]:
+        """Into how many parts a size band's n-grams are dealt, and how many of them a set may leave empty: as many as the
+        band's least partners leave on average without some of their n-grams, and some more."""
+        if (self.percent, band) not in _PARTS:
+            edges = _edges(self.percent)
+            least, most = (edges[band - 1] if band else 1) * self.percent / 100 * (1 - SPARE), int(edges[band]) - 1
+            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
+            count = differ + 1
+            for _ in range(4 if differ else 0):
+                empty = count * np.exp(-least / count)
+                count = differ + 1 + int(np.ceil(empty + np.sqrt(empty)))
+            _PARTS[self.percent, band] = count, count - differ - 1
+        return _PARTS[self.percent, band]
+
+
 _EDGES: dict[int, np.ndarray] = {}
+_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -75,31 +87,37 @@ def _edges(percent: int) -> np.ndarray:
     return _EDGES[percent]
 
 
-# The global order -----------------------------------------------------------------------------------------------------
+# Common n-grams -------------------------------------------------------------------------------------------------------
 
 
-def cell_counts(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
-    """How often each cell is hit by the n-grams of all texts."""
+def common_cells(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
+    """Which cells the n-grams of all texts hit far more often than others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "__text"):
                 grams, _ = shingle_hashes(*flat(part.column("__text")), rule.words)
-                total += np.bincount((grams >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], names=["cell", "n"])
-
-    made = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(run, "cell int, n bigint")
-    found = made.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale of 16 bits."""
-    return (np.log2(counts + 1.0) * 1024).astype(np.uint16)
+                np.add.at(total, grams >> U64(64 - CELL_BITS), 1)
+        if total.any():
+            rows = [chunk.tobytes() for chunk in total.reshape(-1, 1 << CHUNK_BITS).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << CHUNK_BITS, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    source = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("__text"))
+    made = source.mapInArrow(run, "chunk int, counts binary").withColumn("some", F.floor(F.spark_partition_id() / TASKS))
+    some = made.groupBy("chunk", "some").applyInArrow(added, "chunk int, counts binary")
+    found = some.groupBy("chunk").applyInArrow(added, "chunk int, counts binary").toArrow()
+    counts = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
+    for chunk, x in zip(found.column("chunk").to_pylist(), found.column("counts")):
+        counts[chunk] = np.frombuffer(x.as_buffer(), np.int64)
+    mean = counts.mean()
+    return counts.ravel() > COMMON * mean + CHANCE * np.sqrt(mean) + 1
 
 
 # Sets -----------------------------------------------------------------------------------------------------------------
@@ -119,69 +137,103 @@ def row_sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
         yield own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
 
 
-def signed(docs: DataFrame, keep: list[str], rule: Rule, counts: np.ndarray, text: str = "text") -> DataFrame:
-    """Kept columns with ``n``, ``sig``, ``cid`` (64 bits of it), ``bands``, ``probes`` (all of the set that aren't common),
-    ``need`` (how many more n-grams than probes the prefix has; negative: fewer) and ``rest`` (those, where it has more)."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels(counts), int(levels(np.array([COMMON * max(1.0, counts.mean())]))[0])))
+def signed(docs: DataFrame, keep: list[str], rule: Rule, text: str = "text") -> DataFrame:
+    """Kept columns with ``n`` (size of the set), ``sig`` (its name; null if it is empty) and ``cid`` (64 bits of that)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, common = shared.value
-        below = U64(rule.probe_below)
-        empty = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
-                sizes, sigs, cids, bands, probes, needs, rests = [], [], [], [], [], [], []
-                for grams in row_sets(part.column("__text"), rule):
-                    n = len(grams)
-                    sizes.append(n)
-                    if not n:
-                        for column, value in ((sigs, None), (cids, None), (bands, []), (probes, empty), (needs, 0), (rests, empty)):
-                            column.append(value)
-                        continue
-                    sig = signature(grams)
-                    sigs.append(sig)
-                    cids.append(int.from_bytes(sig[:8], "big", signed=True))
-                    bands.append(rule.bands(n))
-                    high = level[(grams >> U64(64 - CELL_BITS)).astype(np.int64)]
-                    probe = (grams < below) & (high < common)
-                    probes.append(grams[probe].view(np.int64))
-                    need = rule.prefix(n) - len(probes[-1])
-                    needs.append(need)
-                    if need > 0:
-                        others, order = grams[~probe], high[~probe]
-                        order = np.argsort(np.where(order < common, 0, order), kind="stable")  # plain ones by hash, then common ones
-                        rests.append(others[order[:need]].view(np.int64))
-                    else:
-                        rests.append(empty)
-                made = [pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(cids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), _lists(probes), pa.array(needs, pa.int64()), _lists(rests)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid", "bands", "probes", "need", "rest"])
+                found = list(row_sets(part.column("__text"), rule))
+                sigs = [signature(g) if len(g) else None for g in found]
+                cids = [s and int.from_bytes(s[:8], "big", signed=True) for s in sigs]
+                made = [pa.array([len(g) for g in found], pa.int64()), pa.array(sigs, pa.binary()), pa.array(cids, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, n bigint, sig binary, cid bigint, bands array<int>, probes array<bigint>, need bigint, rest array<bigint>")
-
-
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+    return source.mapInArrow(run, f"{typed}, n bigint, sig binary, cid bigint")
+
+
+# Candidates -----------------------------------------------------------------------------------------------------------
+
+
+def _dealt(grams: np.ndarray, owner: np.ndarray, rows: int, count: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts that hold n-grams: owners, numbers and keys; and how many each owner has. Every owner's n-grams are in
+    order; it has ``count`` parts, and ``salt`` goes into its keys."""
+    if not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+    part = (grams >> U64(32)) * count[owner] >> U64(32)
+    starts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))))
+    own, part = owner[starts], part[starts]
+    return own, part, mix(np.add.reduceat(mix(grams ^ _SEEDS[2]), starts) + mix(salt[own] + part)), np.bincount(own, minlength=rows)
+
+
+def part_keys(sets: list[np.ndarray], rule: Rule, common: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, key) of every key: linked sets of different n-grams have one in common.
+
+    Two linked sets meet in the band of the larger one. Without common n-grams they differ in no more n-grams than before,
+    so of the band's parts more agree than one of them leaves empty, unless both leave more empty than the band reckons
+    with. Such sets also have the parts of all their n-grams as keys, and, if these leave as many empty, the numbers of
+    the empty ones."""
+    rows = [(i, band) for i, s in enumerate(sets) if len(s) for band in rule.bands(len(s)) if rule.parts(band)[0] > 1]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    number, bands = np.array(rows).T
+    count, spare = np.array([rule.parts(b) for b in bands]).T
+    salt = mix(bands.astype(np.uint64) << U64(32))
+    rare = [s[~common(s)] for s in sets]
+
+    def dealt(source: list[np.ndarray], chosen: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        picked = [source[i] for i in number[chosen]]
+        owner = np.repeat(np.arange(len(picked)), [len(p) for p in picked])
+        return _dealt(np.concatenate(picked), owner, len(picked), count[chosen].astype(np.uint64), salt)
+
+    own, _, keys, full = dealt(rare, np.arange(len(rows)), salt)
+    owners, found = [number[own]], [keys]
+    short = np.flatnonzero(count - full > spare)
+    if len(short):
+        second = salt[short] + U64(1 << 62)
+        own, part, keys, full = dealt(sets, short, second)
+        owners.append(number[short[own]]), found.append(keys)
+        for j in np.flatnonzero(count[short] - full > spare[short]):
+            empty = np.setdiff1d(np.arange(count[short[j]], dtype=np.uint64), part[own == j])
+            owners.append(np.full(len(empty), number[short[j]])), found.append(mix(mix(second[j] + empty) + U64(1)))
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def met(cids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer (cid, key) rows that connect the same: of the sets here that share a key, the least stands for all; each other
+    one meets that one at a key of its own."""
+    order = np.lexsort((cids, keys))
+    cids, keys = cids[order], keys[order]
+    fresh = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    least = cids[fresh][np.cumsum(fresh) - 1]
+    rest = cids != least
+    pairs = np.unique(np.stack([cids[rest], least[rest]], 1), axis=0)
+    own = mix(pairs[:, 0].view(np.uint64) ^ _SEEDS[0])
+    return np.concatenate((cids[fresh], pairs[:, 0], pairs[:, 1])), np.concatenate((keys[fresh], own, own))
+
+
+def candidates(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """(u, v): sets that share a key, each with the least of them. What a batch of texts shares is brought together before
+    the shuffle, so a key that a third of all rows have is no third of the rows that are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_cells(docs, rule, text))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            cids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for part in slices(batch, "__text"):
+                sets = list(row_sets(part.column("__text"), rule))
+                own, found = part_keys(sets, rule, lambda g: common[(g >> U64(64 - CELL_BITS)).astype(np.int64)])
+                names = np.array([int.from_bytes(signature(s)[:8], "big", signed=True) if len(s) else 0 for s in sets], np.int64)
+                cids.append(names[own]), keys.append(found)
+            a, b = met(np.concatenate(cids), np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(a)], names=["key", "cid"])
 
-def prefixes(marked: DataFrame) -> DataFrame:
-    """(key, cid): every n-gram of every prefix that other sets might have in theirs, for each size band.
-
-    Which probes are shared is seen by bringing equal ones together; since common n-grams are no probes, none of them has
-    more than a small, fixed share of all rows."""
-    full = marked.where("n > 0")
-    same = Window.partitionBy("gram")
-    probes = full.select(F.explode("probes").alias("gram"), "cid")
-    probes = probes.withColumn("low", F.min("cid").over(same)).withColumn("high", F.max("cid").over(same)).where("low < high")
-    shared = probes.groupBy("cid").agg(F.sort_array(F.collect_set("gram")).alias("grams"))  # part of one set
-    classes = full.groupBy("cid").agg(F.first("need").alias("need"), F.first("bands").alias("bands"))
-    met = classes.join(shared, "cid").withColumn("take", F.least(F.col("need") + F.size("grams"), F.size("grams").cast("bigint")))
-    first = met.where("take > 0").select("cid", "bands", F.explode(F.slice("grams", F.lit(1), F.col("take").cast("int"))).alias("gram"))
-    rest = full.where("need > 0").select("cid", "bands", F.explode("rest").alias("gram"))
-    each = first.unionByName(rest).select("cid", "gram", F.explode("bands").alias("band"))
-    return each.select(F.xxhash64("gram", "band").alias("key"), "cid")
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "key bigint, cid bigint")
+    so_far = Window.partitionBy("key").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("v", F.first("cid").over(so_far)).where("cid > v").select(F.col("cid").alias("u"), "v")
 
 
 # The trie -------------------------------------------------------------------------------------------------------------
@@ -415,10 +467,7 @@ def _tasks(members: DataFrame, rule: Rule, block: int) -> DataFrame:
 def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
     """Links (u, v) between signatures of different sets, enough to connect what is connected, and rows (u, null, n) whose
     sum for a signature is the number of different sets linked with it. ``marked`` is :func:`signed` with ``doc_id`` kept."""
-    keys = stage(prefixes(marked), "prefixes")
-    ends = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    near = keys.join(ends.select("key", "low"), "key").where("cid > low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
-    groups = components(near)
+    groups = components(candidates(docs, rule, text))
     classes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cid").alias("cid"))
     members = classes.join(groups.withColumnRenamed("node", "cid"), "cid")
     members = stage(members, "members")
@@ -426,24 +475,14 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
     texts = perhaps_among(docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text")), F.col("__id"), members, F.col("rep"))
     texts = texts.join(chosen.hint("merge"), F.col("__id").eqNullSafe(F.col("rep")))  # the same plan at every size
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                found = list(row_sets(part.column("__text"), rule))
-                right = [i for i, (g, s) in enumerate(zip(found, part.column("member").to_pylist())) if len(g) and signature(g) == s]
-                picked = part.take(pa.array(right, pa.int64()))
-                lists = _lists([found[i].view(np.int64) for i in right])
-                made = [picked.column("component"), picked.column("tasks"), picked.column("side"), picked.column("member"), lists]
-                yield pa.RecordBatch.from_arrays(made, names=["component", "tasks", "side", "sig", "grams"])
-
     def joined(table: pa.Table) -> pa.Table:
         by_sig: dict[bytes, tuple[np.ndarray, int, bool]] = {}
-        for batch in table.to_batches():  # views of the batches, no copies
-            lists = batch.column(batch.schema.get_field_index("grams"))
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            sides, homes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("side", "home"))
-            for i, sig in enumerate(batch.column(batch.schema.get_field_index("sig")).to_pylist()):  # rows that share an id and a text come twice
-                by_sig[sig] = values[offsets[i] : offsets[i + 1]], sides[i], homes[i]
+        for batch in table.to_batches():
+            for part in slices(batch, "__text"):
+                columns = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("member", "side", "place"))
+                for grams, sig, side, place in zip(row_sets(part.column(part.schema.get_field_index("__text")), rule), *columns):
+                    if sig not in by_sig and len(grams) and signature(grams) == sig:  # rows may share an id, and a text too
+                        by_sig[sig] = grams, side, place == 0
         names = sorted(by_sig)
         own, sides, homes = ([by_sig[s][k] for s in names] for k in range(3))
         found, counts = block_links(own, rule, np.array(sides, np.int64), np.array(homes, bool))
@@ -452,9 +491,7 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
         u, v = [names[a] for a, _ in found] + [names[i] for i in some], [names[b] for _, b in found] + [None] * len(some)
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "n": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})
 
-    spread = texts.select("__text", "component", "tasks", "side", "member").mapInArrow(sets, "component bigint, tasks array<string>, side bigint, sig binary, grams array<bigint>")
-    blocks = spread.select("component", F.posexplode("tasks").alias("place", "task"), "side", "sig", "grams")
-    blocks = blocks.select("component", "task", "side", (F.col("place") == 0).alias("home"), "sig", "grams")
+    blocks = texts.select("__text", "component", F.posexplode("tasks").alias("place", "task"), "side", "member")
     return blocks.groupBy("component", "task").applyInArrow(joined, "u binary, v binary, n bigint")
 
 
@@ -467,9 +504,9 @@ def groups(docs: DataFrame, rule: Rule, keep: list[str] | None = None, text: str
     are linked, but count in ``n_links`` as one. Rows may repeat, and rows of null or shared ids are told apart by their sets; ``component_id``
     and ``class_id`` leave null ids out and are null only where there is no other. An empty table gives an empty one."""
     keep = keep or ["doc_id"]
-    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "class_id", "n_links", "group", "n", "sig", "cid", "bands", "probes", "need", "rest"}:
+    if "doc_id" not in keep or set(keep) & {"n_shingles", "component_id", "class_id", "n_links", "group", "n", "sig", "cid"}:
         raise ValueError("keep doc_id, and no column with the name of an added one")
-    marked = stage(signed(docs, keep, rule, cell_counts(docs, rule, text), text), "sets")
+    marked = stage(signed(docs, keep, rule, text), "sets")
     met = stage(links(docs, marked, rule, text, block), "links")
     roots = components(met.where("v is not null").select("u", "v"))
     linked = met.where("v is null").groupBy(F.col("u").alias("sig")).agg(F.sum("n").alias("n_links"))
