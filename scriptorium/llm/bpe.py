@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tables import Tables, pretokens, tables
+from .workspace import extended
 
 #: Pre-tokens whose encodings a worker keeps. Memory, not results, depends on it.
 CACHE_WORDS = 1_000_000
@@ -160,8 +161,7 @@ def _over_texts(df: DataFrame, column: str, schema: str, columns: list[str], wor
     if set(names) & set(keep):
         raise ValueError(f"columns {sorted(set(names) & set(keep))} exist already; keep others or rename them")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__text"))
-    typed = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join(typed + [f"`{n}` {k}" for n, k in zip(names, spark_kinds)]))
+    return source.mapInArrow(run, extended(source, ", ".join(f"`{n}` {k}" for n, k in zip(names, spark_kinds))))
 
 
 def encode_decode(df: DataFrame, path: str, keep: list[str], column: str = "text") -> DataFrame:

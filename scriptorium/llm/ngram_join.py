@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .arrow_text import U64, flat, mix, shingle_hashes, slices
 from .components import components
 from .members import perhaps_among
-from .workspace import stage
+from .workspace import extended, stage
 
 #: Cells of the count table, dealt into chunks; a bit of each is all that is sent to every task.
 CELL_BITS, CHUNK_BITS = 20, 14
@@ -150,8 +150,7 @@ def signed(docs: DataFrame, keep: list[str], rule: Rule, text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, n bigint, sig binary, cid bigint")
+    return source.mapInArrow(run, extended(source, "n bigint, sig binary, cid bigint"))
 
 
 # Candidates -----------------------------------------------------------------------------------------------------------

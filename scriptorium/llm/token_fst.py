@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Recent
 from .bpe_tables import Tables, pretokens, tables
+from .workspace import extended
 
 #: Transitions that a worker keeps before it compiles anew. Memory, not results, depends on it.
 MOST_TRANSITIONS = 1_500_000
@@ -204,5 +205,4 @@ def token_counts(df: DataFrame, path: str, keep: list[str], column: str = "text"
         raise ValueError("a kept column has the name of an added one")
     text = F.col(f"`{column}`")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), text.alias("__text"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return source.mapInArrow(run, extended(source, "n_tokens bigint")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import flat, slices
 from .sampling import lowest, remainder
+from .workspace import extended
 
 #: Labelled rows of each class that a fit uses (a bound, whatever the input).
 SAMPLE_ROWS = 8192
@@ -379,5 +380,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], made], names=[*keep, "score"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, score double")
+    return source.mapInArrow(run, extended(source, "score double"))
