@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mix(table(spark, sf_dir, "documents"), ["doc_id"]).drop("slots")
 
 
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, responses
 
     made = derivatives(responses(table(spark, sf_dir, "pages")))
-    columns = ["warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest"]
+    columns = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest"]
     return made.select(F.col("key").alias("page_id"), *columns, F.col("source_headers")["Content-Length"].alias("source_length"))
 
 
