@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import flat, slices
+from .workspace import extended
 
 #: Trigram cells of a language model; what the driver holds is this many numbers a language.
 CELLS = 1 << 16
@@ -133,25 +134,26 @@ class Model:
             active = won[alive[won].sum(1) > 1]
         return share
 
-    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
-        """Language and score of each text: the share of its main language, times that language's probability if the
-        text is all in one."""
+    def predict(self, texts: pa.Array) -> list[tuple[str, float, float]]:
+        """Language, score and fit of each text: its main language and that one's share, and how much likelier the mixture
+        makes one of its trigrams than blind chance would (a logarithm; 0 and less: the text is in no learned language)."""
         data, offsets = flat(texts)
         logs, bounds = self.units(data, offsets)
         if not self.names:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         share = self.proportions(logs, bounds)
-        whole = np.stack([np.bincount(np.repeat(np.arange(len(texts)), np.diff(bounds)), logs[:, i], len(texts)) for i in range(len(self.names))], 1)
-        whole = np.exp(np.maximum(whole - whole.max(1, keepdims=True), -700))
-        whole /= whole.sum(1, keepdims=True)
-        best = np.where((share > 0).sum(1) == 1, whole.argmax(1), share.argmax(1))  # of the sets of one, the likeliest
-        share[np.arange(len(best)), best] = np.maximum(share.max(1), share[np.arange(len(best)), best])
+        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        most = logs.max(1) if len(logs) else np.zeros(0)
+        like = most + np.log(np.maximum((np.exp(np.maximum(logs - most[:, None], -300)) * share[row]).sum(1), 1e-300))
+        _, at, _ = trigrams(data, offsets)
+        found = np.diff(np.searchsorted(at, offsets))
+        fit = np.bincount(row, like, len(texts)) / np.maximum(found, 1) + np.log(CELLS)
         out = []
-        for i, b in enumerate(best):
+        for i, b in enumerate(share.argmax(1)):
             known = bounds[i + 1] > bounds[i]
             if known and not ((data[offsets[i] : offsets[i + 1]] & 0xDF) - 65 < 26).any():  # no ASCII letter: look closer
                 known = any(c.isalpha() for c in texts[i].as_py())
-            out.append((self.names[b], float(min(1.0, share[i, b] * whole[i, b]))) if known else (UNKNOWN, 0.0))
+            out.append((self.names[b], float(min(1.0, share[i, b])), float(fit[i])) if known else (UNKNOWN, 0.0, 0.0))
         return out
 
 
@@ -161,11 +163,12 @@ def train(docs: DataFrame, language: str = "lang", text: str = "text") -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Each row's kept columns with ``lang_pred`` and ``score``, from its whole text.
+    """Each row's kept columns with ``lang_pred``, ``score`` and ``fit`` (:meth:`Model.predict`), from its whole text.
 
-    A null text or one without letters is ``und`` with score 0, as is every text under a model of no language. Equal
-    texts get equal answers; an empty table gives an empty one; a kept column may not have an added name (ValueError)."""
-    if set(keep) & {"lang_pred", "score"}:
+    A null text or one without letters is ``und`` with score and fit 0, as is every text under a model of no language. Of
+    languages with equal shares the first by name is taken. Equal texts get equal answers; an empty table gives an empty
+    one; a kept column may not have an added name (ValueError)."""
+    if set(keep) & {"lang_pred", "score", "fit"}:
         raise ValueError("a kept column has the name of an added one")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -173,9 +176,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         for batch in batches:
             for part in slices(batch, "__text"):
                 found = shared.value.predict(part.column("__text"))
-                made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "lang_pred", "score"])
+                made = [pa.array([x[j] for x in found], kind) for j, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "lang_pred", "score", "fit"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, lang_pred string, score double")
+    return source.mapInArrow(run, extended(source, "lang_pred string, score double, fit double"))
