@@ -8,8 +8,10 @@ references, and position and caption stay on the row that is resolved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import extended
+
 #: Samples in a row of a stored image; payloads are padded with blanks to a multiple.
 WIDTH = 192
 #: A media reference in ``src`` begins so and goes on with the digest of the stored form.
@@ -25,9 +29,12 @@ SCHEME = "media:"
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Elements whose text is no prose, and those that end a text item.
-_SILENT = {"script", "style", "head", "title", "template", "noscript"}
+#: Elements whose text is no prose; those of them that any element but ``HEAD_ONLY`` ends, as HTML lets their end tags out.
+_SILENT, _HEAD = {"script", "style", "head", "title", "template"}, {"head", "title"}
+_HEAD_ONLY = {"base", "link", "meta", "title", "script", "style", "noscript", "template", "head", "html"}
+#: Elements that end a text item, and those of them that no figure holds.
 _BLOCK = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "blockquote", "figure", "header", "footer", "nav", "body", "main", "aside", "pre"}
+_OUTSIDE = {"article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer", "nav", "body", "main"}
 
 
 def padded(text: bytes) -> bytes:
@@ -78,17 +85,28 @@ def feature(payload: bytes) -> str:
     mean = float(share @ np.arange(256))
     deviation = float(np.sqrt(share @ (np.arange(256) - mean) ** 2))
     p = share[share > 0]
-    return f"distinct={len(p)};mean={mean:.4f};deviation={deviation:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f}"
+    return f"distinct={len(p)};mean={mean:.4f};deviation={deviation:.4f};entropy={abs(float((p * np.log2(p)).sum())):.4f}"
+
+
+_TAG = re.compile("<[A-Za-z/!?]")
 
 
 class _Sequence(HTMLParser):
+    """Items in the order of the page. ``figures`` are the open ones, inner ones last, each with its media, its caption so
+    far and what it lies in; ``caption`` says whether the innermost one's caption is open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent = self.figure = self.caption = 0
-        self.open: list[dict] = []
-        self.captions: list[str] = []
+        self.silent: Counter[str] = Counter()  # open elements whose text is no prose
+        self.figures: list[dict] = []
+        self.caption = self.sourceless = False
+        self.depth: Counter[str] = Counter()  # open elements that may hold a figure
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Of any kind: what it is in HTML, a comment up to the next sign that ends a tag."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -97,55 +115,101 @@ class _Sequence(HTMLParser):
         self.words = []
 
     def end_figure(self) -> None:
-        caption = " ".join("".join(self.captions).split())
-        for item in self.open:
-            item["caption"] = caption or item["caption"]
-        self.open, self.captions = [], []
+        """Media without a caption in an inner figure get that of the one around it."""
+        own = self.figures.pop()
+        caption = " ".join("".join(own["caption"]).split())
+        if caption:
+            for item in own["media"]:
+                item["caption"] = caption
+        elif self.figures:
+            self.figures[-1]["media"] += own["media"]
+        self.caption = False
+
+    def media(self, src: str, alt: str | None) -> None:
+        self.flush()
+        digest = src[len(SCHEME) :] if src.startswith(SCHEME) else None
+        item = {"pos": len(self.items), "kind": "media", "text": None if digest else src, "digest": digest, "caption": alt or None}
+        self.items.append(item)
+        if self.figures:
+            self.figures[-1]["media"].append(item)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _HEAD_ONLY:
+            self.silent["head"] = self.silent["title"] = 0
+        if tag in _SILENT:
+            self.silent[tag] += 1
+        if any(self.silent.values()):
+            return
+        if tag in _OUTSIDE:
+            while self.figures:
+                self.end_figure()
         if tag in _BLOCK:
             self.flush()
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag == "figure":
-            self.figure += 1
+            if self.caption and self.figures[-1]["said"]:
+                self.caption = False  # its end tag is missing, or what follows is prose of its own
+        own = dict(attrs)
+        if tag == "figure":
+            self.figures.append({"media": [], "caption": [], "said": False, "depth": self.depth.copy()})
+            self.caption = False
         elif tag == "figcaption":
-            self.caption += 1
-        elif tag in ("img", "source", "video", "audio") and not self.silent:
-            own = dict(attrs)
-            src = own.get("src") or ""
-            if tag != "source" and src:
-                self.flush()
-                digest = src[len(SCHEME) :] if src.startswith(SCHEME) else None
-                item = {"pos": len(self.items), "kind": "media", "text": None if digest else src, "digest": digest, "caption": own.get("alt") or None}
-                self.items.append(item)
-                if self.figure:
-                    self.open.append(item)
+            self.flush()
+            self.caption = bool(self.figures)
+        elif tag in ("img", "video", "audio"):
+            self.sourceless = tag != "img" and not own.get("src")
+            if own.get("src"):
+                self.media(own["src"], own.get("alt"))
+        elif tag == "source" and self.sourceless and own.get("src"):
+            self.sourceless = False  # the first that is given
+            self.media(own["src"], None)
+        elif tag in ("div", "li", "td", "article", "section", "main", "body"):
+            self.depth[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "head":
+            self.silent["head"] = self.silent["title"] = 0
+        elif self.silent[tag] > 0:
+            self.silent[tag] -= 1
+        if any(self.silent.values()):
+            return
+        while self.figures and 0 < self.depth[tag] <= self.figures[-1]["depth"][tag]:
+            self.end_figure()  # what it lies in ends
+        if self.depth[tag] > 0:
+            self.depth[tag] -= 1
         if tag in _BLOCK:
             self.flush()
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption":
-            self.caption = max(0, self.caption - 1)
-        elif tag == "figure":
-            self.figure = max(0, self.figure - 1)
-            if not self.figure:
-                self.end_figure()
+        if tag == "figcaption":
+            self.caption = False
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in ("video", "audio"):
+            self.sourceless = False
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            (self.captions if self.caption and self.figure else self.words).append(data)
+        if any(self.silent.values()):
+            return
+        if self.caption:
+            self.figures[-1]["said"] |= bool(data.strip())
+        (self.figures[-1]["caption"] if self.caption else self.words).append(data)
+
+
+def _closed(html: str) -> str:
+    """With an end to a comment or tag that the page breaks off in: the parser would look for it again and again."""
+    if html.rfind("<!--") > html.rfind("-->"):
+        return html + "-->"
+    return html + ">" if _TAG.search(html, html.rfind(">") + 1) else html
 
 
 def sequence(html: str | None) -> list[dict]:
-    """A page's items in order. A figure's caption goes to its media (else ``alt``); media without the store's scheme keep
-    their address in ``text`` and have no digest. No page, no items."""
+    """A page's items in order. A figure's caption goes to its media (else ``alt``), an outer figure's only to those that no
+    inner caption names; media without the store's scheme keep their address in ``text`` and have no digest, a video's or
+    audio's first source stands for it. Missing end tags are filled in as HTML has it: a head ends with the first element
+    that is no part of one, a figure with what it lies in or before a section or heading, its caption with the figure or
+    with a block after the caption's first. Any characters make a page; no page, no items."""
     parser = _Sequence()
-    parser.feed(html or "")
+    parser.feed(_closed(html or ""))
     parser.close()
-    parser.end_figure()
+    while parser.figures:
+        parser.end_figure()
     parser.flush()
     return parser.items
 
@@ -163,22 +227,27 @@ def sequences(pages: DataFrame, keep: list[str], html: str = "html") -> DataFram
     if "items" in keep:
         raise ValueError("a kept column is named items")
     source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, items array<{ITEM}>")
+    return source.mapInArrow(run, extended(source, f"items array<{ITEM}>"))
 
 
 def resolve(seqs: DataFrame, media: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each media item: kept columns, ``pos``, ``caption``, ``digest`` and what ``media`` has of that digest
     (nulls where it has nothing). ``media`` has one row a digest, so a digest that a third of all items refer to is only
-    met by small rows, whose partition Spark may split."""
+    met by small rows, whose partition Spark may split. Repeated pages give repeated rows; a null digest meets nothing; empty
+    tables give an empty one. No kept column may have the name of an added one (ValueError)."""
+    if set(keep) & {"pos", "caption", *media.columns}:
+        raise ValueError("a kept column has the name of an added one")
     items = seqs.select(*[F.col(f"`{c}`") for c in keep], F.explode("items").alias("item")).where("item.kind = 'media'")
     items = items.select(*[F.col(f"`{c}`") for c in keep], "item.pos", "item.caption", "item.digest")
     return items.join(media, "digest", "left")
 
 
 def stored_documents(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Each document as a page that shows its text as an image: kept columns, ``n_bytes`` of the text, ``html``,
-    ``digest`` and ``media`` (the stored form). A null text counts as empty."""
+    """Each document as a page that shows its text as an image, a line before and one after it: kept columns, ``n_bytes`` of
+    the text, ``html``, ``digest`` and ``media`` (the stored form). A null text counts as empty, equal texts have equal
+    forms, an empty table gives an empty one. No kept column may have the name of an added one (ValueError)."""
+    if set(keep) & {"n_bytes", "html", "digest", "media"}:
+        raise ValueError("a kept column has the name of an added one")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,23 +257,26 @@ def stored_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Da
                 raw = [(x.as_py() or "").encode() for x in column.slice(begin, 64)]
                 media = [store(padded(x)) for x in raw]
                 digest = [hashlib.sha256(m).hexdigest() for m in media]
-                html = [f'<article><figure><img src="{SCHEME}{d}"><figcaption>{len(x)} bytes</figcaption></figure></article>' for d, x in zip(digest, raw)]
+                html = [
+                    f'<article><p>{len(x.split())} words<figure><img src="{SCHEME}{d}"><figcaption>{len(x)} bytes</figcaption></figure><p>{x.count(b"\n") + 1} lines</article>'
+                    for d, x in zip(digest, raw)
+                ]
                 made = [pa.array([len(x) for x in raw], pa.int64()), pa.array(html), pa.array(digest), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n_bytes", "html", "digest", "media"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{typed}, n_bytes bigint, html string, digest string, media binary")
+    return source.mapInArrow(run, extended(source, "n_bytes bigint, html string, digest string, media binary"))
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes of (digest, media) give when read back; one row a digest, repeats being equal."""
+    """What the stored bytes of (digest, media) give when read back; one row a digest, repeats being equal. No media, no rows;
+    ValueError on media that are null or no stored form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for digest, stored in zip(batch.column("digest"), batch.column("media")):
-                form = stored.as_py()
+                form = stored.as_py() or b""
                 payload = load(form)
                 rows.append((digest.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload)))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
