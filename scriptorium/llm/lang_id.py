@@ -69,7 +69,7 @@ def counts(docs: DataFrame, language: str = "lang", text: str = "text") -> DataF
                     total[name] = total.get(name, 0) + np.bincount(cells[mine], minlength=CELLS)
         for name, n in total.items():
             full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full, pa.int32()), pa.array(n[full], pa.int64())], names=["lang", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(n[full], pa.int64())], names=["lang", "cell", "n"])
 
     source = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("__lang"), F.col(text).alias("__text"))
     return source.mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
