@@ -13,6 +13,8 @@ BLANK_LINE = "\\n[\\t\\n\\f\\r ]*\\n"
 SPACE = "[\\s\\x0B\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 #: A character that no text holds, to split at.
 CUT = "\u0001"
+#: Noncharacters that stand for a word and between paragraphs.
+A_WORD, A_PARAGRAPH = "\ufdd0", "\ufdd1"
 VOWELS = "aeiouy"
 
 
@@ -44,6 +46,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
+def marked(text: Column) -> Column:
+    """A text's shape in one string: a mark for each word, its other signs, a mark after each sentence and between
+    paragraphs. What :func:`paragraphs`, :func:`sentences` and :func:`word_count` say of a text can be read off it."""
+    shape = F.regexp_replace(F.regexp_replace(text, WORD, A_WORD), BLANK_LINE, A_PARAGRAPH)
+    shape = F.regexp_replace(F.regexp_replace(shape, f"{SPACE}+", " "), f" ?{A_PARAGRAPH} ?|^ | \\z", A_PARAGRAPH)
+    return F.regexp_replace(shape, f"([.!?]+(?: +|\\z|(?={A_PARAGRAPH}))|[。！？؟।]+)", f"$1{CUT}")
+
+
+def marked_paragraphs(shape: Column) -> Column:
+    """Number of paragraphs."""
+    return F.regexp_count(shape, F.lit(f"[^{A_PARAGRAPH}]+")).cast("bigint")
+
+
+def marked_lengths(shape: Column) -> Column:
+    """The words of each sentence."""
+    cut = F.filter(F.split(shape, f"[{CUT}{A_PARAGRAPH}]", -1), lambda s: F.trim(s) != "")
+    return F.transform(cut, lambda s: F.length(s) - F.length(F.replace(s, F.lit(A_WORD), F.lit(""))))
+
+
 def spaced(tokens: Column) -> Column:
     """Tokens in one string, each between blanks of its own: what happens within a token is then a pattern of the string,
     and whole-string expressions stay in generated code."""

@@ -6,6 +6,8 @@ value), whose set of names is open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,65 +47,104 @@ def is_per_thousand(metric: Column) -> Column:
     return metric.startswith("fw.") | metric.endswith("_rate")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``counts``: a struct of integers that all metrics are made of. A null text counts as empty."""
+def measured(docs: DataFrame, text: str = "text", needs: set[str] | None = None) -> DataFrame:
+    """Adds ``counts``: a struct of integers that all metrics are made of, or those of them that are named in ``needs`` (and
+    ``words``), so that nothing is counted in vain. A null text counts as empty.
+
+    Sentences are counted in one string that only has marks for words and other signs, so nothing is matched a sentence."""
     t = F.coalesce(F.col(text), F.lit(""))
     known = sorted({w for c in (FUNCTION_WORDS, *CLASSES.values()) for w in c})
-    d = docs.withColumn("__words", tx.words(t)).withColumn("__paras", F.transform(tx.paragraphs(t), tx.sentences))
-    d = d.withColumn("__lens", F.transform(F.flatten("__paras"), tx.word_count)).withColumn("__spaced", tx.spaced(F.col("__words")))
-    d = d.withColumn("__known", tx.spaced(F.filter("__words", lambda w: w.isin(known))))
-    lines = F.transform(F.split(t, "\n", -1), tx.trimmed)
-    d = d.withColumn("__lines", lines)
-    total = lambda column: F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    needs = {*NAMES, *SIGNS, *(f"w.{w}" for w in known)} if needs is None else needs | {"words"}
+    known = [w for w in known if f"w.{w}" in needs]
     long = lambda c: c.cast("bigint")
-    fields: dict[str, Column] = {
-        "words": long(F.size("__words")),
-        "letters": long(F.length(F.array_join("__words", ""))),
-        "syllables": F.when(F.size("__words") > 0, tx.syllables_in(F.col("__spaced"))).otherwise(0),
-        "paragraphs": long(F.size("__paras")),
-        "sentences": long(F.size("__lens")),
-        "length_squares": total(F.transform("__lens", lambda x: x.cast("bigint") * x)),
-        "length_sum": total(F.col("__lens")),
-        "contractions": long(F.regexp_count("__spaced", F.lit(CONTRACTION))),
-        "lines": long(F.size("__lines")),
-        "headings": long(F.size(F.filter("__lines", lambda x: x.startswith("#")))),
-        "bullets": long(F.size(F.filter("__lines", lambda x: x.rlike("^[-*+] ")))),
+    total = lambda column: F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    steps: dict[str, Column] = {}
+    if known or needs & {"letters", "syllables", "contractions"}:
+        steps["__words"] = tx.words(t)
+    if needs & {"syllables", "contractions"}:
+        steps["__spaced"] = tx.spaced(F.col("__words"))
+    if known:
+        steps["__known"] = tx.spaced(F.filter("__words", lambda w: w.isin(known)))
+    if needs & {"paragraphs", "sentences", "length_squares", "length_sum"}:
+        steps["__marked"] = tx.marked(t)
+    if needs & {"sentences", "length_squares", "length_sum"}:
+        steps["__lens"] = tx.marked_lengths(F.col("__marked"))
+    if needs & {"lines", "headings", "bullets"}:
+        steps["__lines"] = F.transform(F.split(t, "\n", -1), tx.trimmed)
+    fields: dict[str, Callable[[], Column]] = {
+        "words": lambda: long(F.size("__words")) if "__words" in steps else tx.word_count(t).cast("bigint"),
+        "letters": lambda: long(F.length(F.array_join("__words", ""))),
+        "syllables": lambda: F.when(F.size("__words") > 0, tx.syllables_in(F.col("__spaced"))).otherwise(0),
+        "paragraphs": lambda: tx.marked_paragraphs(F.col("__marked")),
+        "sentences": lambda: long(F.size("__lens")),
+        "length_squares": lambda: total(F.transform("__lens", lambda x: x.cast("bigint") * x)),
+        "length_sum": lambda: total(F.col("__lens")),
+        "contractions": lambda: long(F.regexp_count("__spaced", F.lit(CONTRACTION))),
+        "lines": lambda: long(F.size("__lines")),
+        "headings": lambda: long(F.size(F.filter("__lines", lambda x: x.startswith("#")))),
+        "bullets": lambda: long(F.size(F.filter("__lines", lambda x: x.rlike("^[-*+] ")))),
     }
     for name, signs in SIGNS.items():
-        fields[name] = sum((tx.occurrences(t, s) for s in signs[1:]), tx.occurrences(t, signs[0]))
+        fields[name] = lambda signs=signs: sum((tx.occurrences(t, s) for s in signs[1:]), tx.occurrences(t, signs[0]))
     for w in known:
-        fields[f"w.{w}"] = tx.occurrences(F.col("__known"), f" {w} ")
-    counts = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return d.withColumn("counts", counts).drop("__words", "__paras", "__lens", "__spaced", "__known", "__lines")
-
-
-def definitions() -> dict[str, Column]:
-    """Each metric as an expression over ``counts`` (of a document with words)."""
-    c = lambda name: F.col("counts").getField(name).cast("double")
-    n, s = c("words"), c("sentences")
-    out = {
-        "sentence_len_mean": c("length_sum") / s,
-        "sentence_len_stddev": F.sqrt(s * c("length_squares") - c("length_sum") * c("length_sum")) / s,
-        "reading_grade": F.lit(0.39) * (n / s) + F.lit(11.8) * (c("syllables") / n) - F.lit(15.59),
-        "paragraph_len_mean": s / c("paragraphs"),
-        "word_len_mean": c("letters") / n,
-        "contraction_rate": c("contractions") * 1000.0 / n,
-        "heading_cadence": c("headings") * 100.0 / c("lines"),
-        "list_cadence": c("bullets") * 100.0 / c("lines"),
+        fields[f"w.{w}"] = lambda w=w: tx.occurrences(F.col("__known"), f" {w} ")
+    d = docs
+    for name, column in steps.items():
+        d = d.withColumn(name, column)
+    return d.withColumn("counts", F.struct(*[made().alias(n) for n, made in fields.items() if n in needs])).drop(*steps)
+
+
+#: The counts that are no signs and no words.
+NAMES = ("words", "letters", "syllables", "paragraphs", "sentences", "length_squares", "length_sum", "contractions", "lines", "headings", "bullets")
+Counts = Callable[[str], Column]
+
+
+def formulas() -> dict[str, Callable[[Counts], Column]]:
+    """Each metric as a function of how a count is read (of a document with words)."""
+    rate = lambda names, per=1000.0, of="words": lambda c: sum((c(x) for x in names[1:]), c(names[0])) * per / c(of)
+    out: dict[str, Callable[[Counts], Column]] = {
+        "sentence_len_mean": lambda c: c("length_sum") / c("sentences"),
+        "sentence_len_stddev": lambda c: F.sqrt(c("sentences") * c("length_squares") - c("length_sum") * c("length_sum")) / c("sentences"),
+        "reading_grade": lambda c: F.lit(0.39) * (c("words") / c("sentences")) + F.lit(11.8) * (c("syllables") / c("words")) - F.lit(15.59),
+        "paragraph_len_mean": lambda c: c("sentences") / c("paragraphs"),
+        "word_len_mean": lambda c: c("letters") / c("words"),
+        "contraction_rate": rate(["contractions"]),
+        "heading_cadence": rate(["headings"], 100.0, "lines"),
+        "list_cadence": rate(["bullets"], 100.0, "lines"),
     }
-    out |= {name: c(name) * 1000.0 / n for name in SIGNS}
-    out |= {name: sum((c(f"w.{w}") for w in members[1:]), c(f"w.{members[0]}")) * 1000.0 / n for name, members in CLASSES.items()}
-    return out | {f"fw.{w}": c(f"w.{w}") * 1000.0 / n for w in FUNCTION_WORDS}
+    out |= {name: rate([name]) for name in SIGNS}
+    out |= {name: rate([f"w.{w}" for w in members]) for name, members in CLASSES.items()}
+    return out | {f"fw.{w}": rate([f"w.{w}"]) for w in FUNCTION_WORDS}
+
+
+def definitions(names: list[str] | None = None) -> dict[str, Column]:
+    """The metrics (those named, or all) as expressions over ``counts``."""
+    made = formulas()
+    return {n: made[n](lambda x: F.col("counts").getField(x).cast("double")) for n in (names or made)}
+
+
+def needed(names: list[str]) -> set[str]:
+    """The counts that these metrics are made of."""
+    made, found = formulas(), set()
+
+    def read(name: str) -> Column:
+        found.add(name)
+        return F.lit(1.0)
+
+    for n in names:
+        made[n](read)
+    return found
 
 
-def metrics_long(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Kept columns, ``n_words``, ``metric``, ``value``: all metrics of each document that has words, zeros included."""
-    rows = measured(docs.select(*keep, text), text).where("counts.words > 0")
-    each = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in definitions().items()])
+def metrics_long(docs: DataFrame, keep: list[str], text: str = "text", names: list[str] | None = None) -> DataFrame:
+    """Kept columns, ``n_words``, ``metric``, ``value``: all metrics (or those named) of each document that has words, zeros
+    included."""
+    rows = measured(docs.select(*keep, text), text, needed(names) if names else None).where("counts.words > 0")
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in definitions(names).items()])
     return rows.select(*keep, F.col("counts.words").alias("n_words"), F.inline(each))
 
 
 def metrics_wide(docs: DataFrame, keep: list[str], names: list[str], text: str = "text") -> DataFrame:
     """Kept columns and the named metrics as columns."""
-    made = definitions()
-    return measured(docs.select(*keep, text), text).where("counts.words > 0").select(*keep, *[made[n].alias(n) for n in names])
+    made = definitions(names)
+    return measured(docs.select(*keep, text), text, needed(names)).where("counts.words > 0").select(*keep, *[made[n].alias(n) for n in names])

@@ -53,7 +53,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = metrics.measured(styled(spark, sf_dir))
+    c = metrics.measured(styled(spark, sf_dir), needs={"paragraphs", "sentences"})
     return c.select("doc_id", F.col("counts.paragraphs").alias("n_paras"), F.col("counts.sentences").alias("n_sents"))
 
 
@@ -62,7 +62,7 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def function_word_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.metrics_long(plain(spark, sf_dir), ["doc_id"]).where(F.col("metric").startswith("fw."))
+    found = metrics.metrics_long(plain(spark, sf_dir), ["doc_id"], names=[f"fw.{w}" for w in metrics.FUNCTION_WORDS])
     return found.select("doc_id", "metric", rounded(F.col("value"), 4).alias("value"))
 
 
