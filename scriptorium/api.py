@@ -100,8 +100,7 @@ def scores(drafts: DataFrame, p: Profile) -> DataFrame:
     """(draft_id, distance) of any number of drafts."""
     check_language(p.language)
     t = _frames(drafts.sparkSession, p)
-    met = lint.compared(metrics_long(drafts, ["draft_id"]), t["features"].drop("profile_id"), t["stats"].select("documents", "words"))
-    return lint.with_wordless(lint.distances(met, ["draft_id"]), drafts, ["draft_id"])
+    return lint.score_rows(drafts, t["features"].drop("profile_id"), t["stats"].select("documents", "words"), ["draft_id"])
 
 
 def check(spark: SparkSession, text: str, p: Profile) -> dict[str, Any]:

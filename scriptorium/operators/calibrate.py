@@ -18,16 +18,18 @@ def holdout_every(n: int) -> int:
 def split(docs: DataFrame, name: str, every: int = 4) -> DataFrame:
     """Adds ``split``: every n-th document in the order of a hash of its name is held out, the others train.
 
-    Places in that order are counted per hash bucket and added up, so no task sorts the corpus."""
+    Names alone are put in order, per hash bucket, and places added up over the buckets; the texts meet their names again
+    afterwards. Names are the documents' keys: rows that share one are held out together."""
     every = holdout_every(every)
     hashed = F.md5(F.col(name).cast("string"))
-    rows = docs.withColumn("__h", hashed).withColumn("__b", F.substring("__h", 1, 3))
+    rows = docs.select(name).distinct().withColumn("__h", hashed).withColumn("__b", F.substring("__h", 1, 3))
     sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))  # 4096 rows at most
     placed = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", name)) - 1).join(F.broadcast(starts), "__b")
     held = (F.col("__s") + F.col("__r")) % every == 0
-    return placed.withColumn("split", F.when(held, "holdout").otherwise("train")).drop("__h", "__b", "__n", "__s", "__r")
+    chosen = placed.select(F.col(name).alias("__name"), F.when(held, "holdout").otherwise("train").alias("split"))
+    return docs.join(chosen, F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
 
 
 def guard(train: int, holdout: int, decoys: int) -> None:

@@ -33,13 +33,14 @@ def term_counts(docs: DataFrame, by: list[str], doc: str = "doc_id", text: str =
     each = docs.select(*by, doc, F.explode(kept).alias("term")).groupBy(*by, doc, "term").agg(F.count("*").alias("n"))
     counted = each.groupBy(*by, "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
-    return counted.join(F.broadcast(totals), by) if by else counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return counted.join(totals, by) if by else counted.withColumn("total", totals.scalar())
 
 
 def mine(counted: DataFrame, baseline: DataFrame, by: list[str], top_n: int = 40, min_count: int = 3, min_docs: int = 2) -> DataFrame:
     """(by, rank, term, score, n, docs): the terms of most log relative frequency against ``baseline`` (term, base), where
-    a term that it lacks counts once."""
-    total = baseline.agg(F.sum("base").alias("base_total"))
+    a term that it lacks counts once. Where the table has ``all``, that is what a term adds to the total (every count of a
+    word that its file repeats)."""
+    total = baseline.agg(F.sum("all" if "all" in baseline.columns else "base").alias("base_total"))
     eligible = counted.where((F.col("n") >= min_count) & (F.col("docs") >= min_docs))
     met = eligible.join(baseline, "term", "left").withColumn("base_total", total.scalar())
     share = (F.col("n").cast("double") / F.col("total")) / (F.coalesce(F.col("base"), F.lit(1)).cast("double") / F.col("base_total"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.num import rounded
 
-from .metrics import is_per_thousand
+from .metrics import definitions, is_per_thousand, measured, needed
 
 #: A feature whose scale is less can't be held against a draft.
 LEAST_SCALE = 1e-9
+#: A noncharacter that stands for a term in a text.
+MARK = "\ufdd2"
 
 
 def scale(metric: Column, mean: Column, stddev: Column, n_words: Column, corpus_words: Column) -> Column:
@@ -43,6 +45,26 @@ def distances(met: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, rounded(F.coalesce(F.try_divide("a", "b"), F.lit(0.0)), 4).alias("distance"))
 
 
+def score_rows(docs: DataFrame, features: DataFrame, stats: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep, distance) of each draft to one profile, within its own row: no shuffle, no state, so for streams too.
+
+    The profile's features (some fifty rows) and its row of ``stats`` (documents, words) are read once, beforehand. Drafts
+    without words are at distance 0; rows that share an id are drafts of their own."""
+    s = stats.first()
+    corpus = s["words"] / s["documents"] if s["documents"] else None
+    made, n = definitions(), F.col("counts.words").cast("double")
+    known = [row for row in features.orderBy("metric").collect() if row["metric"] in made]
+    above, below = F.lit(0.0), F.lit(0.0)
+    for row in known:
+        scaled = scale(F.lit(row["metric"]), F.lit(row["mean"]), F.lit(row["stddev"]), n, F.lit(corpus).cast("double"))
+        dev = deviation(made[row["metric"]], F.lit(row["min"]).cast("double"), F.lit(row["max"]).cast("double"), F.greatest(scaled, F.lit(1e-300)))
+        counts = scaled >= LEAST_SCALE
+        above = above + F.when(counts, F.lit(row["weight"]) * dev).otherwise(0.0)
+        below = below + F.when(counts, F.lit(row["weight"])).otherwise(0.0)
+    distance = F.when(F.col("counts.words") > 0, rounded(F.coalesce(F.try_divide(above, below), F.lit(0.0)), 4)).otherwise(0.0)
+    return measured(docs.select(*keep, text), text, needed([r["metric"] for r in known])).select(*keep, distance.alias("distance"))
+
+
 def with_wordless(found: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
     """Adds drafts that have no metric at all: at distance 0 from any profile."""
     return docs.select(*by).join(found, by, "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
@@ -57,19 +79,28 @@ def feature_violations(met: DataFrame, by: list[str]) -> DataFrame:
 def avoided_spans(docs: DataFrame, terms: DataFrame, keep: list[str], text: str = "text", on: list[str] | None = None) -> DataFrame:
     """(keep, term, start, end): where avoided terms occur, case-sensitively, in bytes of UTF-8; occurrences of one term
     don't overlap, those of different terms may. ``terms`` has the profiles' few terms in ``term``; they are made one
-    array a profile and sent around."""
+    array a profile and sent around. A term may hold any characters; time goes with the text and its occurrences."""
     listed = terms.where("term <> ''").distinct()
     listed = listed.groupBy(*on).agg(F.sort_array(F.collect_list("term")).alias("terms")) if on else listed.agg(F.sort_array(F.collect_list("term")).alias("terms"))
     met = docs.join(F.broadcast(listed), on) if on else docs.withColumn("terms", listed.scalar())
     each = met.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("t"), F.explode("terms").alias("term")).where(F.contains(F.col("t"), F.col("term")))
-    parts = F.transform(F.split(F.col("t"), F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1), lambda x: F.octet_length(x))
-    size = F.octet_length("term")
-    each = each.select(*keep, "term", parts.alias("parts"), size.alias("size"))
-    begins = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.col("size"))
-    each = each.select(*keep, "term", "size", F.explode(begins).alias("start"))
+    parts = F.transform(F.split(F.replace(F.col("t"), F.col("term"), F.lit(MARK)), MARK, -1), lambda x: F.octet_length(x))
+    each = each.select(*keep, "term", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("parts"), F.octet_length("term").alias("size"))
+    each = each.select(*keep, "term", "size", F.explode(_running(F.col("parts"), F.col("size"))).alias("start"))
     return each.select(*keep, "term", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("size")).cast("bigint").alias("end"))
 
 
+def _running(parts: Column, more: Column) -> Column:
+    """Running totals of an array, with ``more`` added between elements: totals of blocks of the root of its length first, so
+    that none is added up from the start."""
+    n = F.size(parts)
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    sums = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(parts, b * block + 1, block)))
+    upto = lambda i, at: total(F.slice(sums, F.lit(1), at)) + total(F.slice(parts, at * block + 1, i - at * block + 1)) + i * more
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: upto(i, F.floor(i / block).cast("int")))).otherwise(F.array().cast("array<int>"))
+
+
 def hard_counts(docs: DataFrame, terms: list[str], text: str = "text") -> Column:
     """Number of avoided occurrences, for a handful of terms known beforehand: no join."""
     from scriptorium.functions.text import occurrences

@@ -53,7 +53,8 @@ def revision_prompt(draft: str, brief: dict) -> str:
     if brief.get("preferred"):
         lines.append("Prefer where it is natural: " + ", ".join(brief["preferred"]))
     lines += [f"- {f['metric']} is {f['deviation']:.2f} deviations out of range" for f in brief.get("features", [])]
+    lines += [f"- remove {x['term']!r} at byte {x['start']}" for x in brief.get("lexical", [])]
     lines += [f"- [{r['severity']}] {r['statement']} ({r['evidence']})" for r in brief.get("rules", [])]
     for i, e in enumerate(brief.get("exemplars", []), 1):
-        lines += ["", f"Passage {i} in the target style:", e.strip()]
+        lines += ["", f"Passage {i} in the target style:", (e["chunk"] if isinstance(e, dict) else e).strip()]
     return "\n".join([*lines, "", "--- draft ---", draft.strip(), "--- end of draft ---", ""])

@@ -118,7 +118,8 @@ def _scored(docs: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def style_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(styled(spark, sf_dir), labelled(spark, sf_dir, 1))[1]
+    train = labelled(spark, sf_dir, 1)
+    return lint.score_rows(styled(spark, sf_dir), _features(train), distill.corpus_stats(train, []), ["doc_id"])
 
 
 def feature_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +139,8 @@ def calibration_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _split(spark, sf_dir)
     drafts = parts.where("split = 'holdout'").select("doc_id", "text", F.lit(True).alias("is_target"))
     drafts = drafts.unionByName(labelled(spark, sf_dir, 0).select("doc_id", "text", F.lit(False).alias("is_target")))
-    found = _scored(drafts, parts.where("split = 'train'"))[1]
-    return drafts.select("doc_id", "is_target").join(found, "doc_id").select("doc_id", "is_target", "distance")
+    train = parts.where("split = 'train'")
+    return lint.score_rows(drafts, _features(train), distill.corpus_stats(train, []), ["doc_id", "is_target"])
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +225,14 @@ def massage_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select(F.col("draft_id").alias("doc_id"), count("revision"), "distance", count("hard_violations"), count("rule_violations"), "accepted")
 
 
+def massage_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, docs = labelled(spark, sf_dir, 1), styled(spark, sf_dir)
+    profile = massage.Profile(_features(train), distill.corpus_stats(train, []), rules.mine(_paragraphs(train), []), avoided=("—", "--"))
+    seen = massage.assess(docs.select(F.col("doc_id").alias("draft_id"), "text"), profile).where("not accepted")
+    size = lambda c: F.size(f"brief.{c}").cast("bigint").alias(f"n_{c}")
+    return massage.briefs(seen, profile).select(F.col("draft_id").alias("doc_id"), "brief.distance", size("features"), size("lexical"), size("rules"))
+
+
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.html_to_prose(F.col("html")).alias("text"))
 
@@ -246,7 +255,7 @@ def queries() -> dict[str, Query]:
         word_counts, segment_counts, metrics_long, function_word_rates, feature_ranges, corpus_stats, baseline_table, lexicon_mine, rules_mine,
         rules_counterexamples, rules_check, avoided_spans, style_distance, feature_violations, holdout_split, calibration_scores, auc, youden_threshold,
         confusion_matrix, on_target_verdict, chunk_dedup, term_idf, retrieve_topk, profile_merge, profile_resolve, last_assistant_turn, hook_decision,
-        judging_prompt, verdict_violations, massage_trajectory, html_extract, markdown_strip, keep_list,
+        judging_prompt, verdict_violations, massage_trajectory, massage_brief, html_extract, markdown_strip, keep_list,
     )
     return wide | {f.__name__: f for f in own}
 

@@ -354,6 +354,8 @@ def all_sql() -> dict[str, str]:
         "judging_prompt": _prompt(),
         "verdict_violations": _verdicts(),
         "massage_trajectory": _massage(),
+        "massage_brief": f"""WITH base AS ({_massage()}), feat AS (SELECT * FROM (WITH {scored} SELECT doc_id, count(*) AS n FROM met WHERE dev > 0 GROUP BY doc_id))
+  SELECT doc_id, distance, coalesce(n, 0) AS n_features, hard_violations AS n_lexical, rule_violations AS n_rules FROM base LEFT JOIN feat USING (doc_id) WHERE revision = 0 AND NOT accepted""",
         "html_extract": _html(),
         "markdown_strip": f"SELECT doc_id, {_replace('text', ((markup.FRONT_MATTER, ''), *markup.MARKDOWN))} AS text FROM (SELECT doc_id, {MARKED_UP} AS text FROM ({STYLED_DOCS}) UNION ALL SELECT CAST(-id AS BIGINT), text FROM {samples})",
         "keep_list": "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS kept FROM documents",

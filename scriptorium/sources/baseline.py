@@ -41,12 +41,13 @@ def build(spark: SparkSession, books: str, wiki: str, top_n: int) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(term, base) of a file of word, tab, count; blank lines, comments and counts that aren't positive are skipped. Of a
-    repeated word the last count holds, so lines are numbered by their place in the (small) file."""
+    """(term, base, all) of a file of word, tab, count; blank lines, comments and counts that aren't positive are skipped. Of
+    a repeated word the last count holds, so lines are numbered by their place in the (small) file; all its counts are
+    part of the total."""
     rows = spark.read.format("text").option("wholetext", True).load(path).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
     rows = rows.where("trim(line) <> '' and not startswith(line, '#')").select("i", F.split("line", "\t").alias("p")).where(F.size("p") >= 2)
     rows = rows.select("i", F.lower(F.trim(F.col("p")[0])).alias("term"), F.expr("try_cast(trim(p[1]) as bigint)").alias("base")).where("base > 0")
-    return rows.groupBy("term").agg(F.max_by("base", "i").alias("base"))
+    return rows.groupBy("term").agg(F.max_by("base", "i").alias("base"), F.sum("base").alias("all"))
 
 
 def save(table: DataFrame, path: str) -> None:

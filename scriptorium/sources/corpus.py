@@ -28,8 +28,12 @@ def one_draft(spark: SparkSession, text: str, name: str = "draft") -> DataFrame:
     return spark.createDataFrame([(name, text)], "draft_id string, text string")
 
 
-def keep_only(docs: DataFrame, names: DataFrame, on: str) -> DataFrame:
-    """Documents on the keep-list (one column ``on``)."""
+def keep_only(docs: DataFrame, names: DataFrame, on: str, strict: bool = False) -> DataFrame:
+    """Documents on the keep-list (one column ``on``). ``strict``: ValueError if a name on it has no document."""
+    if strict:
+        lost = [r[0] for r in missing(docs, names, on).orderBy(on).limit(20).collect()]
+        if lost:
+            raise ValueError(f"the corpus lacks {', '.join(map(str, lost))}")
     return docs.join(names.select(on).distinct(), on, "left_semi")
 
 
@@ -41,3 +45,10 @@ def missing(docs: DataFrame, names: DataFrame, on: str) -> DataFrame:
 def write_corpus(docs: DataFrame, folder: str) -> None:
     """Mirror a corpus: what the folder held before is gone."""
     docs.write.mode("overwrite").parquet(folder)
+
+
+def mirror(docs: DataFrame, names: DataFrame, on: str, folder: str) -> DataFrame:
+    """The kept part of a corpus as a folder of its own, which is only touched if no name is missing."""
+    kept = keep_only(docs, names, on, strict=True)
+    write_corpus(kept, folder)
+    return docs.sparkSession.read.schema(kept.schema).parquet(folder)

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from scriptorium.functions.num import rounded
 from scriptorium.operators import lint
-from scriptorium.operators.metrics import definitions, measured
 
 
 def score_stream(drafts: DataFrame, features: DataFrame, stats: DataFrame, keep: list[str]) -> DataFrame:
@@ -15,20 +12,4 @@ def score_stream(drafts: DataFrame, features: DataFrame, stats: DataFrame, keep:
 
     The profile's features are one array, read once; the sum over them stays within the row, so the stream needs no state
     and no watermark. Drafts without words are at distance 0."""
-    f = features.collect()  # one profile: some fifty rows
-    s = stats.first()
-    corpus = s["words"] / s["documents"] if s["documents"] else None
-    made, n = definitions(), F.col("counts.words").cast("double")
-    above, below = F.lit(0.0), F.lit(0.0)
-    for row in f:
-        if row["metric"] not in made:
-            continue
-        metric = F.lit(row["metric"])
-        value = made[row["metric"]]
-        scaled = lint.scale(metric, F.lit(row["mean"]), F.lit(row["stddev"]), n, F.lit(corpus).cast("double"))
-        dev = lint.deviation(value, F.lit(row["min"]).cast("double"), F.lit(row["max"]).cast("double"), F.greatest(scaled, F.lit(1e-300)))
-        counts = scaled >= lint.LEAST_SCALE
-        above = above + F.when(counts, F.lit(row["weight"]) * dev).otherwise(0.0)
-        below = below + F.when(counts, F.lit(row["weight"])).otherwise(0.0)
-    distance = F.when(F.col("counts.words") > 0, rounded(F.coalesce(F.try_divide(above, below), F.lit(0.0)), 4)).otherwise(0.0)
-    return measured(drafts.select(*keep, "text")).select(*keep, distance.alias("distance"))
+    return lint.score_rows(drafts, features, stats, keep)
