@@ -6,10 +6,11 @@ the vocabulary's, that BPE leaves beside the last token of what stands before it
 suffix, can go on: each transition says by how much the count changes. States are compiled on demand and shared by all
 texts; word ends return to the start.
 
-Texts longer than ``chunk_chars`` are cut into chunks. What a chunk does to the pre-tokenizer, from whatever state it is
-entered, is a small map: the part before its first certain word border, which depends on what stood before; the count
-between the first and last certain borders; and the part after. Maps compose associatively, so the chunks of a text are
-combined by a prefix scan in a logarithmic number of rounds.
+Around it stands the machine of the pre-tokenizer, whose states say which kind of piece is being read, where in it the
+transducer is, and what was read but can't be dealt with yet (a blank, or the beginning of a contraction). Every text is cut
+into chunks. What a chunk does is a map from the state it is entered in to the state it is left in and a count: up to the
+first certain border in it that depends on the state; from there on it is known. Maps compose associatively, so the
+chunks of a text are combined by a prefix scan in a logarithmic number of rounds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from .workspace import extended
 #: Transitions that a worker keeps before it compiles anew. Memory, not results, depends on it.
 MOST_TRANSITIONS = 1_500_000
 
+#: Characters in a chunk.
+CHUNK_CHARS = 4096
+
 #: A border for certain, whatever stands around: after a letter, before one blank that a letter follows. (No pattern of
 #: the pre-tokenizer spans it, and none looks behind.)
 _BORDER = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
@@ -105,78 +110,154 @@ class Transducer:
         """Tokens of one pre-token."""
         if len(self.steps) > MOST_TRANSITIONS:
             self.begin()
-        state = total = 0
-        steps = self.steps
-        for b in word:
+        return self.feed(0, word)[1]
+
+    def feed(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after these bytes, and by how much the count has changed."""
+        total, steps = 0, self.steps
+        for b in data:
             go = steps.get(state << 8 | b)
             if go is None:
                 go = self.compile(state, b)
             state = go[0]
             total += go[1]
-        return total
+        return state, total
+
+    def numbered(self, key: tuple) -> int:
+        """The number of a state that was told as it is in ``states``: numbers change when states are compiled anew."""
+        state = self.number.get(key)
+        if state is None:
+            state = self.number[key] = len(self.states)
+            self.states.append(key)
+        return state
+
 
+#: Kinds of characters: letters, numbers, white space (the blank among it) and others.
+_KINDS = (("L", regex.compile(r"\p{L}")), ("N", regex.compile(r"\p{N}")), ("S", regex.compile(r"\s")))
+#: The contractions that are pieces of their own, and the beginnings of longer ones.
+CONTRACTIONS, BEGUN = ("'s", "'t", "'m", "'d", "'re", "'ve", "'ll"), ("'r", "'v", "'l")
 
-#: A chunk's map: (head, count, tail), or (text, None, "") while no border is known in it.
-ChunkMap = tuple[str, int | None, str]
+#: Kind of the piece that is read ("" for none, "Q" for what may become a contraction), state of the transducer in it, and
+#: what isn't in there yet.
+State = tuple[str, tuple, str]
+#: A chunk's map: what stands before its first certain border, the count from there on, the state it is left in. Without a
+#: border all of it is in the first.
+ChunkMap = tuple[str, int, State | None]
 
 
 class Counter:
-    def __init__(self, t: Tables, chunk_chars: int = 1 << 16) -> None:
+    def __init__(self, t: Tables, chunk_chars: int = CHUNK_CHARS) -> None:
         self.t, self.fst, self.chunk_chars = t, Transducer(t), chunk_chars
         self.words = Recent(lambda w: self.fst.count(w.encode("utf-8", "surrogatepass")))
+        self.kinds: dict[str, str] = {}
+        self.start: State = ("", self.fst.states[0], "")
+
+    def kind(self, sign: str) -> str:
+        found = self.kinds.get(sign)
+        if found is None:
+            if len(self.kinds) > 100_000:
+                self.kinds.clear()
+            found = self.kinds[sign] = next((k for k, pattern in _KINDS if pattern.fullmatch(sign)), "O")
+        return found
+
+    def run(self, entry: State, text: str) -> tuple[State, int]:
+        """The state after a stretch that is entered in a state, and by how much the count has changed."""
+        piece, key, held = entry
+        at, total = self.fst.numbered(key), 0
+
+        def read(state: int, signs: str) -> int:
+            nonlocal total
+            state, change = self.fst.feed(state, signs.encode("utf-8", "surrogatepass"))
+            total += change
+            return state
+
+        for sign in text:
+            kind = self.kind(sign)
+            if piece == "Q":
+                held += sign
+                if held in CONTRACTIONS:
+                    read(0, held)
+                    piece, at, held = "", 0, ""
+                    continue
+                if held in BEGUN:
+                    continue
+                at = read(0, "'")
+                piece = "O"
+                if len(held) > 2:  # the letter after the sign begins a piece
+                    piece, at = "L", read(0, held[1])
+                held = ""
+            if piece == "S":
+                if kind == "S":
+                    at, held = read(at, held), sign
+                    continue
+                # The run ends before its last sign: a blank goes with what follows, another is a piece of its own.
+                begun = read(0, held)
+                piece, at, held = (kind, begun, "") if held == " " else ("", 0, "")
+            if piece == kind:  # "S" never gets here
+                at = read(at, sign)
+            elif kind == "S":
+                piece, at, held = "S", 0, sign
+            elif sign == "'":
+                piece, at, held = "Q", 0, sign
+            else:
+                piece, at = kind, read(0, sign)
+        return (piece, self.fst.states[at], held), total
 
-    def stretch(self, text: str) -> int:
-        """Tokens of a text that begins and ends at word borders."""
-        return sum(map(self.words.__getitem__, pretokens(text)))
+    def end(self, state: State) -> int:
+        """What the count still changes by if nothing follows, or a border does."""
+        piece, key, held = state
+        if piece == "S":
+            return self.fst.feed(self.fst.numbered(key), held.encode("utf-8", "surrogatepass"))[1]
+        return sum(self.fst.feed(0, c.encode())[1] for c in held)
 
     def chunk(self, text: str) -> ChunkMap:
+        """Between the first and the last certain border whole pieces are counted, each with the transducer."""
         first = _BORDER.search(text)
         if first is None:
-            return text, None, ""
-        begin = first.start()
-        last = begin
+            return text, 0, None
+        begin = last = first.start()
         for size in (256, 4096, len(text)):  # the last border is near the end
             for m in _BORDER.finditer(text, max(begin, len(text) - size)):
                 last = m.start()
             if last > begin:
                 break
-        return text[:begin], self.stretch(text[begin:last]), text[last:]
+        left, more = self.run(self.start, text[last:])
+        return text[:begin], sum(map(self.words.__getitem__, pretokens(text[begin:last]))) + more, left
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b. Between the last border of a and the first of b lies text that only both together show."""
-        if a[1] is None and b[1] is None:
-            both = a[0] + b[0]
-            return self.chunk(both) if _BORDER.search(both, max(0, len(a[0]) - 1), len(a[0]) + 2) else (both, None, "")
-        if a[1] is None:
+        """First a, then b."""
+        if a[2] is None:
             return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.stretch(a[2] + b[0]) + b[1], b[2]
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefixes' maps, in a logarithmic number of rounds, each of which composes independent pairs."""
-        far = 1
-        while far < len(maps):
-            maps = [m if i < far else self.compose(maps[i - far], m) for i, m in enumerate(maps)]
-            far *= 2
-        return maps
-
-    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last entry of :meth:`scan` alone: the up-sweep."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+        left, more = self.run(a[2], b[0])
+        if b[2] is None:
+            return a[0], a[1] + more, left
+        return a[0], a[1] + more + self.end(left) + b[1], b[2]
+
+    def apply(self, m: ChunkMap, entry: State) -> tuple[State, int]:
+        """The state that a chunk is left in if it is entered in this one, and the change of the count."""
+        left, more = self.run(entry, m[0])
+        return (left, more) if m[2] is None else (m[2], more + self.end(left) + m[1])
+
+    def scan(self, maps: list[ChunkMap], entry: State) -> list[tuple[State, int]]:
+        """The state after each chunk and its count, by the two sweeps of a work-efficient scan, each of a logarithmic number
+        of rounds of independent steps: maps of ever longer stretches upwards, the states they are entered in downwards."""
+        levels = [maps]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            levels.append([self.compose(*below[i : i + 2]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
+        entries = [entry]
+        for level in reversed(levels[:-1]):
+            entries = [entries[i // 2] if i % 2 == 0 else self.apply(level[i - 1], entries[i // 2])[0] for i in range(len(level))]
+        return [self.apply(m, e) for m, e in zip(maps, entries)]
 
     def count(self, text: str) -> int:
         total, n = 0, self.chunk_chars
         for part, special in self.t.sections(text):
             if special is not None:
                 total += 1
-            elif len(part) <= n:
-                total += self.stretch(part)
-            else:
-                head, inner, tail = self.reduce([self.chunk(part[i : i + n]) for i in range(0, len(part), n)])
-                total += self.stretch(head) + (0 if inner is None else inner + self.stretch(tail))
+                continue
+            after = self.scan([self.chunk(part[i : i + n]) for i in range(0, len(part), n)], self.start)
+            total += sum(count for _, count in after) + self.end(after[-1][0])
         return total
 
 
@@ -189,7 +270,7 @@ def counter(path: str, chunk_chars: int) -> Counter:
     return _counters[path, chunk_chars]
 
 
-def token_counts(df: DataFrame, path: str, keep: list[str], column: str = "text", limit: int = 1024, chunk_chars: int = 1 << 16) -> DataFrame:
+def token_counts(df: DataFrame, path: str, keep: list[str], column: str = "text", limit: int = 1024, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Each row's kept columns with ``n_bytes`` (of UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
     A null or empty text has 0 bytes and 0 tokens. Repeated rows count each; an empty table gives an empty one; columns
