@@ -86,7 +86,7 @@ def calibrate(docs: DataFrame, decoys: DataFrame, register: str, baseline: DataF
     best = cal.discriminator(scored).first()
     made.discriminator = {k: best[k] for k in ("threshold", "auc", "tpr", "fpr", "method")}
     out = finish(made, docs, base, rules_file)
-    out.calibration = best.asDict()
+    out.calibration = best.asDict() | {"train": n.get("train", 0), "target_holdout": n.get("holdout", 0), "decoys": decoys.count()}
     if not best.separates:
         out.warnings.append("the corpora are not told apart well: the threshold means little")
     return out
@@ -134,17 +134,34 @@ def review(spark: SparkSession, text: str, p: Profile) -> dict[str, Any]:
     return found | {"preferred_lexicon": p.preferred, "avoided_lexicon": p.avoided, "profile_rules": p.rules, "judging_prompt": prompt, "judgement": verdict, "guidance": massage.GUIDANCE}
 
 
-def bank(docs: DataFrame, source: str = "doc_id", order: str = "doc_id", min_words: int = retrieve.MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(postings, weights) of a corpus' passages."""
-    chunks = retrieve.chunks(docs, source, order, min_words)
-    weights = retrieve.idf(chunks)
-    return retrieve.postings(chunks, ["source", "para"], weights), weights
+@dataclass
+class Bank:
+    """A corpus' passages, made once and kept for any number of queries: ``chunks`` (source, para, chunk), ``postings`` and
+    ``weights``."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    weights: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, source: str = "doc_id", order: str = "doc_id", min_words: int = retrieve.MIN_WORDS) -> Bank:
+        chunks = retrieve.chunks(docs, source, order, min_words).persist()
+        weights = retrieve.idf(chunks).persist()
+        return Bank(chunks, retrieve.postings(chunks, ["source", "para"], weights).persist(), weights)
+
+    def passages(self, query: str, k: int = 3) -> DataFrame:
+        """(rank, source, para, score, chunk): the passages nearest to one query (three, if ``k`` isn't positive)."""
+        if not query.strip():
+            raise ValueError("the query is blank")
+        asked = self.chunks.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+        found = retrieve.top(self.postings, self.weights, asked, "query_id", k if k > 0 else 3).drop("query")
+        return found.join(self.chunks.select("source", "para", "chunk"), ["source", "para"]).select("rank", "source", "para", "score", "chunk")
+
+    def free(self) -> None:
+        for table in (self.postings, self.weights, self.chunks):
+            table.unpersist()
 
 
 def passages(docs: DataFrame, query: str, k: int = 3, **more: Any) -> DataFrame:
-    """The passages nearest to one query (three, if ``k`` isn't positive)."""
-    if not query.strip():
-        raise ValueError("the query is blank")
-    postings, weights = bank(docs, **more)
-    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
-    return retrieve.top(postings, weights, asked, "query_id", k if k > 0 else 3).drop("query")
+    """The passages nearest to one query over a corpus of which no bank is kept."""
+    return Bank.of(docs, **more).passages(query, k)

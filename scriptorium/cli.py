@@ -1,4 +1,4 @@
-"""Command line: distil, score, calibrate, retrieve, list, hook, serve."""
+"""Command line: distil, score, calibrate, retrieve, list, hook, tools, serve."""
 
 from __future__ import annotations
 
@@ -11,21 +11,8 @@ from pyspark.sql import functions as F
 
 from scriptorium import api
 from scriptorium.operators import distill, hook
-from scriptorium.sources import baseline, corpus, profiles, results, transcripts
-
-
-def _docs(spark: SparkSession, folder: str, register: str):
-    return corpus.read_corpus(spark, folder, register).select(F.col("doc_name").alias("doc_id"), "text")
-
-
-def _base(spark: SparkSession, path: str | None, docs):
-    if path:
-        return baseline.load(spark, path)
-    return baseline.word_table(docs, 20_000).select(F.col("word").alias("term"), F.col("n").alias("base"))
-
-
-def _csv(text: str) -> tuple[str, ...]:
-    return tuple(x.strip() for x in text.split(",") if x.strip())
+from scriptorium.sources import profiles, results, transcripts
+from scriptorium.tools import Tools, comma_list, documents, word_base
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--profiles", required=True)
     c = sub.add_parser("hook")
     c.add_argument("--profile", default=""), c.add_argument("--avoid", default="")
+    c = sub.add_parser("tools")
+    c.add_argument("--profiles", default=""), c.add_argument("--baseline")
     c = sub.add_parser("serve")
     c.add_argument("--profiles", required=True), c.add_argument("--port", type=int, default=8080)
     return p
@@ -54,13 +43,13 @@ def run(argv: list[str], spark: SparkSession, stdin=sys.stdin, out=sys.stdout) -
     """Exit code 1 for a readable score with avoided terms; JSON scores always exit 0."""
     a = parser().parse_args(argv)
     if a.command in ("distill", "calibrate"):
-        docs = _docs(spark, a.corpus, a.register)
-        more = {"id": a.id, "options": distill.Options(avoid=_csv(a.avoid))}
-        table = _base(spark, a.baseline, docs)
+        docs = documents(spark, a.corpus, a.register)
+        more = {"id": a.id, "options": distill.Options(avoid=comma_list(a.avoid))}
+        table = word_base(spark, a.baseline, docs)
         if a.command == "distill":
             made = api.distill(docs, a.register, table, base=a.base, rules_file=a.rules_file, **more)
         else:
-            made = api.calibrate(docs, _docs(spark, a.decoys, "decoys"), a.register, table, a.holdout_every, a.base, a.rules_file, **more)
+            made = api.calibrate(docs, documents(spark, a.decoys, "decoys"), a.register, table, a.holdout_every, a.base, a.rules_file, **more)
         path = a.out or f"{made.profile.id}.profile.yaml"
         profiles.save(made.profile, path)
         print(f"{path}: {len(made.profile.features)} features, {len(made.profile.preferred)} terms, {len(made.profile.rules)} rules", *made.warnings, sep="\n", file=out)
@@ -72,18 +61,20 @@ def run(argv: list[str], spark: SparkSession, stdin=sys.stdin, out=sys.stdout) -
         print(json.dumps(found, indent=2) if a.json else results.report(found), file=out)
         return int(not a.json and found["hard_violations"] > 0)
     elif a.command == "retrieve":
-        for r in api.passages(_docs(spark, a.corpus, ""), a.query or stdin.read(), a.k).orderBy("rank").collect():
+        for r in api.passages(documents(spark, a.corpus, ""), a.query or stdin.read(), a.k).orderBy("rank").collect():
             print(f"{r.rank}. {r.score:.4f} {r.source} [{r.para}]", file=out)
     elif a.command == "list":
         for path, p in profiles.listing(a.profiles):
             print(f"{p.id}\t{p.register}\t{p.language}\t{path}\t{'calibrated' if p.discriminator else 'not calibrated'}", file=out)
     elif a.command == "hook":
         try:  # whatever goes wrong, the session goes on
-            answer = stop_hook(spark, json.loads(stdin.read() or "{}"), a.profile, _csv(a.avoid))
+            answer = stop_hook(spark, json.loads(stdin.read() or "{}"), a.profile, comma_list(a.avoid))
             if answer:
                 print(json.dumps(answer), file=out)
         except Exception as e:
             print(f"hook: {e} (allowed)", file=sys.stderr)
+    elif a.command == "tools":
+        Tools(spark, a.profiles, a.baseline).serve(stdin, out)
     else:
         from scriptorium.service import serve
 

@@ -105,9 +105,3 @@ def one_line(text: Column, n: int) -> Column:
 
 def first_sentence(paragraph: Column) -> Column:
     return F.coalesce(F.try_element_at(sentences(paragraph), F.lit(1)), paragraph)
-
-
-def split_list(csv: Column) -> Column:
-    """A comma-separated list, trimmed, without empty entries."""
-    return F.filter(F.transform(F.split(csv, ",", -1), trimmed), lambda x: x != "")
-

@@ -1,4 +1,4 @@
-"""Tool functions with plain results, and a small HTTP surface over them."""
+"""A small HTTP surface over assessments, reviews and massages."""
 
 from __future__ import annotations
 
@@ -19,15 +19,6 @@ MOST_BODY, MOST_RESULTS = 1 << 20, 256
 KINDS = ("assessments", "reviews", "massages")
 
 
-def list_profiles(folder: str) -> list[dict[str, Any]]:
-    return [{"id": p.id, "register": p.register, "language": p.language, "path": path, "calibrated": p.discriminator is not None, "avoided": p.avoided} for path, p in profiles.listing(folder)]
-
-
-def pick(folder: str, name: str = "", path: str = "") -> Profile:
-    """An explicit path goes before a name."""
-    return profiles.load(path) if path else profiles.find(folder, name)
-
-
 class Results:
     """What was created, first in first out."""
 
