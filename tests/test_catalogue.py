@@ -28,3 +28,13 @@ def test_against_sql(spark, duck, name):
     want = duck.sql(catalogue.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["style_distance", "rules_check", "segment_counts", "avoided_spans"])
+def test_with_generated_code(spark, duck, name):
+    """As production runs it; the other tests do without whole-stage code, which takes longer to compile than to run here."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        test_against_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
