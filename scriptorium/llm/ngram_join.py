@@ -31,13 +31,15 @@ from .workspace import extended, stage
 #: Cells of the count table, dealt into chunks; a bit of each is all that is sent to every task.
 CELL_BITS, CHUNK_BITS = 20, 14
 #: Cells with so many times the mean, and so many standard deviations of chance more, are common.
-COMMON, CHANCE = 1.5, 6
+COMMON, CHANCE = 1.2, 4
 #: Tasks whose counts are added up at once.
 TASKS = 64
 #: The share of a set's n-grams that may be common without more keys.
 SPARE = 0.2
 #: n-grams in a block; larger candidate groups are joined block by block.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 4_000_000
+#: Candidates up to so many (some 120 bytes each) are sent to the texts; more and the texts are shuffled to them.
+SENT_ROWS = 100_000
 #: What the bits of a block's common n-grams may take.
 BITMAP_BYTES = 32 << 20
 
@@ -471,8 +473,12 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
     members = classes.join(groups.withColumnRenamed("node", "cid"), "cid")
     members = stage(members, "members")
     chosen = _tasks(members, rule, block).withColumnRenamed("sig", "member")
-    texts = perhaps_among(docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text")), F.col("__id"), members, F.col("rep"))
-    texts = texts.join(chosen.hint("merge"), F.col("__id").eqNullSafe(F.col("rep")))  # the same plan at every size
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text"))
+    if members.count() <= SENT_ROWS:
+        chosen = F.broadcast(chosen)
+    else:
+        texts, chosen = perhaps_among(texts, F.col("__id"), members, F.col("rep")), chosen.hint("merge")
+    texts = texts.join(chosen, F.col("__id").eqNullSafe(F.col("rep")))
 
     def joined(table: pa.Table) -> pa.Table:
         by_sig: dict[bytes, tuple[np.ndarray, int, bool]] = {}

@@ -259,3 +259,10 @@ def test_sequence_of_broken_pages():
     assert show('<video><source src="media:v"><source src="media:w"></video><picture><source srcset="x"><img src="media:i" alt="al">') == [(0, "v", None), (1, "i", "al")]
     for odd in ["<!--" * 50_000, "<a " * 50_000, "<![x" * 50_000, "<script>" * 50_000, "<template>" * 20_000, "<figure>" * 3000 + "<div>" * 3000, "<figure><figcaption>" + "<p> " * 20_000]:
         media.sequence(odd)
+
+
+def test_recall_on_the_test_table(spark):
+    from scriptorium.llm.recall import recall
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert recall(table, table.where("vec_id % 100 = 0")) >= 0.9

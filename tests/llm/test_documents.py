@@ -96,8 +96,9 @@ def brute(docs, k, percent):
     return {d: (len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(docs)}
 
 
-@pytest.mark.parametrize("percent, block", [(90, 400), (70, 10**6)])
-def test_join_against_brute_force(spark, percent, block):
+@pytest.mark.parametrize("percent, block, sent", [(90, 400, 0), (70, 10**6, 10**5)])
+def test_join_against_brute_force(spark, monkeypatch, percent, block, sent):
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)  # texts shuffled to the candidates, and the other way
     rng = random.Random(5)
     base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(60)]
     docs = []
