@@ -178,7 +178,7 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
+    c = _chunks(spark, sf_dir).persist()  # read three times: for weights, postings and their norms
     weights = retrieve.idf(c)
     bank = retrieve.postings(c, ["source", "para"], weights)
     found = retrieve.top(bank, weights, table(spark, sf_dir, "benchmark"), "item_id", k=3)
