@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tables import Tables, pretokens, tables
+from .worker import keeps, step
 from .workspace import extended
 
 #: Pre-tokens whose encodings a worker keeps. Memory, not results, depends on it.
@@ -139,12 +140,19 @@ _codecs: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def codec(path: str) -> tuple[Encoder, Decoder]:
-    """One pair a process and file: workers are reused, so the tables are built once."""
+    """One pair a process and file: workers are reused, so the tables are built once, until another operator's task."""
     if path not in _codecs:
         _codecs[path] = (Encoder(tables(path)), Decoder(tables(path)))
+        keeps("bpe", forget)
     return _codecs[path]
 
 
+def forget() -> None:
+    """Lets go of all tables and kept encodings."""
+    _codecs.clear()
+    tables.cache_clear()
+
+
 def _over_texts(df: DataFrame, column: str, schema: str, columns: list[str], work: Callable[[str], tuple]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +168,7 @@ def _over_texts(df: DataFrame, column: str, schema: str, columns: list[str], wor
     if set(names) & set(keep):
         raise ValueError(f"columns {sorted(set(names) & set(keep))} exist already; keep others or rename them")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__text"))
-    return source.mapInArrow(run, extended(source, ", ".join(f"`{n}` {k}" for n, k in zip(names, spark_kinds))))
+    return source.mapInArrow(step("bpe", run), extended(source, ", ".join(f"`{n}` {k}" for n, k in zip(names, spark_kinds))))
 
 
 def encode_decode(df: DataFrame, path: str, keep: list[str], column: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import flat, slices
+from .worker import step
 from .workspace import extended
 
 #: Trigram cells of a language model; what the driver holds is this many numbers a language.
@@ -72,7 +73,7 @@ def counts(docs: DataFrame, language: str = "lang", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(n[full], pa.int64())], names=["lang", "cell", "n"])
 
     source = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("__lang"), F.col(text).alias("__text"))
-    return source.mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(step("lang_id", run), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -180,4 +181,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "lang_pred", "score", "fit"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, extended(source, "lang_pred string, score double, fit double"))
+    return source.mapInArrow(step("lang_id", run), extended(source, "lang_pred string, score double, fit double"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import flat, slices, word_hashes
 from .sampling import lowest, remainder
+from .worker import step
 from .workspace import extended
 
 #: Rows that a fit uses of the positives, and as many of the unlabelled (a bound, whatever the input).
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([part.column("positive"), values], names=["positive", "x"])
 
     sample = docs.select("doc_id", F.col(text).alias("text")).join(chosen, "doc_id").select("positive", "text")
-    found = sample.mapInArrow(run, "positive boolean, x array<float>").toArrow()
+    found = sample.mapInArrow(step("quality", run), "positive boolean, x array<float>").toArrow()
     flag = found.column("positive").to_numpy().astype(bool)
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(-1, WIDTH)
     x, flag = _in_order(x.astype(np.float64), flag)
@@ -199,4 +200,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], made], names=[*keep, "score"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, extended(source, "score double"))
+    return source.mapInArrow(step("quality", run), extended(source, "score double"))

@@ -100,3 +100,16 @@ def test_texts_without_any_border(library):
     counter = token_fst.Counter(tables(PATH))
     for text in ("7" * 300_000, "a" * 200_000, " " * 300_000, "don't" * 30_000):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_worker_forgets_other_operators_tables():
+    """Workers are used again: what encoding keeps goes when another operator's task begins, not before."""
+    from scriptorium.llm import bpe, worker
+
+    first = bpe.codec(PATH)[0]
+    ids = first.encode("some words that are kept").tolist()
+    worker.begin("bpe")
+    assert bpe.codec(PATH)[0] is first and len(first.words)
+    assert list(worker.step("quality", lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert not bpe._codecs and not bpe.tables.cache_info().currsize
+    assert bpe.codec(PATH)[0].encode("some words that are kept").tolist() == ids
