@@ -25,9 +25,9 @@ def bits_of(keys: DataFrame, key: Column) -> np.ndarray:
     return bits
 
 
-def perhaps_among(rows: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is no ``other`` of ``keys``; a null key is a key like others. Only the
-    key's hash leaves the JVM."""
+def parted(rows: DataFrame, key: Column, keys: DataFrame, other: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` is perhaps an ``other`` of ``keys``, and those where it is none; a null key is a key like
+    others. Only the key's hash leaves the JVM."""
     shared = rows.sparkSession.sparkContext.broadcast(bits_of(keys, other))
 
     @F.arrow_udf("boolean")
@@ -36,4 +36,10 @@ def perhaps_among(rows: DataFrame, key: Column, keys: DataFrame, other: Column)
         a, b = h % BITS, (h >> 26) % BITS
         return pa.array((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1 == 1)
 
-    return rows.where(hit(F.xxhash64(key)))
+    found = hit(F.xxhash64(key))
+    return rows.where(found), rows.where(~found)
+
+
+def perhaps_among(rows: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``other`` of ``keys``."""
+    return parted(rows, key, keys, other)[0]

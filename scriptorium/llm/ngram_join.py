@@ -4,8 +4,8 @@ Sets that may be linked are brought together first. All n-grams are dealt by has
 of a size band can differ in n-grams, so such sets agree on a whole part: the keys of a set are its parts. Very common
 n-grams, as a count table of a fixed number of cells over all texts tells them, are left out of the parts, and parts
 without any n-gram are no keys; a few more parts make up for those, and sets that have still more of them get keys of a
-second kind (:func:`part_keys`). Sets with a key in common make candidate groups, which are joined in blocks of bounded
-size. In a block the n-grams have one order, the commonest first, and the sets go into a trie in that order. The sets then
+second kind (:func:`part_keys`). Keys are shuffled in packed buckets, a set's name once for all of its keys in one. Sets
+with a key in common make candidate groups, which are joined in blocks of bounded size. In a block the n-grams have one order, the commonest first, and the sets go into a trie in that order. The sets then
 walk the trie: the overlap with a path counts for all sets below it, and a subtree is left where size, position and what
 remains can't reach the threshold any more.
 
@@ -20,12 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, flat, mix, shingle_hashes, slices
 from .components import components
 from .members import perhaps_among
+from .worker import release, step
 from .workspace import extended, stage
 
 #: Cells of the count table, dealt into chunks; a bit of each is all that is sent to every task.
@@ -36,6 +37,9 @@ COMMON, CHANCE = 1.2, 4
 TASKS = 64
 #: The share of a set's n-grams that may be common without more keys.
 SPARE = 0.2
+#: Keys in a bucket, about; their number in bytes and that of a set's name, as they are shuffled. Keys or names that fall
+#: together only make more candidates.
+BUCKET_KEYS, SHORT = 2_000_000, 5
 #: n-grams in a block; larger candidate groups are joined block by block.
 BLOCK_GRAMS = 4_000_000
 #: Candidates up to so many (some 120 bytes each) are sent to the texts; more and the texts are shuffled to them.
@@ -92,8 +96,8 @@ def _edges(percent: int) -> np.ndarray:
 # Common n-grams -------------------------------------------------------------------------------------------------------
 
 
-def common_cells(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
-    """Which cells the n-grams of all texts hit far more often than others."""
+def common_cells(docs: DataFrame, rule: Rule, text: str = "text") -> tuple[np.ndarray, int]:
+    """Which cells the n-grams of all texts hit far more often than others, and how many n-grams there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.uint32)
@@ -112,14 +116,14 @@ def common_cells(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     source = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("__text"))
-    made = source.mapInArrow(run, "chunk int, counts binary").withColumn("some", F.floor(F.spark_partition_id() / TASKS))
+    made = source.mapInArrow(step("ngram_join", run), "chunk int, counts binary").withColumn("some", F.floor(F.spark_partition_id() / TASKS))
     some = made.groupBy("chunk", "some").applyInArrow(added, "chunk int, counts binary")
     found = some.groupBy("chunk").applyInArrow(added, "chunk int, counts binary").toArrow()
     counts = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
     for chunk, x in zip(found.column("chunk").to_pylist(), found.column("counts")):
         counts[chunk] = np.frombuffer(x.as_buffer(), np.int64)
     mean = counts.mean()
-    return counts.ravel() > COMMON * mean + CHANCE * np.sqrt(mean) + 1
+    return counts.ravel() > COMMON * mean + CHANCE * np.sqrt(mean) + 1, int(counts.sum())
 
 
 # Sets -----------------------------------------------------------------------------------------------------------------
@@ -132,6 +136,11 @@ def signature(grams: np.ndarray) -> bytes:
     return b"".join(int(mix(grams ^ s).sum(dtype=np.uint64)).to_bytes(8, "big") for s in _SEEDS[:2])
 
 
+def short_name(sig: bytes) -> int:
+    """A set's name among candidates: the first bits of its signature."""
+    return int.from_bytes(sig[:SHORT], "big")
+
+
 def row_sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
     grams, at = shingle_hashes(*flat(column), rule.words)
     for begin, end in zip(at[:-1], at[1:]):
@@ -140,19 +149,19 @@ def row_sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
 
 
 def signed(docs: DataFrame, keep: list[str], rule: Rule, text: str = "text") -> DataFrame:
-    """Kept columns with ``n`` (size of the set), ``sig`` (its name; null if it is empty) and ``cid`` (64 bits of that)."""
+    """Kept columns with ``n`` (size of the set), ``sig`` (its name; null if it is empty) and ``cid`` (40 bits of that)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 found = list(row_sets(part.column("__text"), rule))
                 sigs = [signature(g) if len(g) else None for g in found]
-                cids = [s and int.from_bytes(s[:8], "big", signed=True) for s in sigs]
+                cids = [s and short_name(s) for s in sigs]
                 made = [pa.array([len(g) for g in found], pa.int64()), pa.array(sigs, pa.binary()), pa.array(cids, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, "n", "sig", "cid"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, extended(source, "n bigint, sig binary, cid bigint"))
+    return source.mapInArrow(step("ngram_join", run), extended(source, "n bigint, sig binary, cid bigint"))
 
 
 # Candidates -----------------------------------------------------------------------------------------------------------
@@ -202,23 +211,63 @@ def part_keys(sets: list[np.ndarray], rule: Rule, common: Callable[[np.ndarray],
     return np.concatenate(owners), np.concatenate(found)
 
 
-def met(cids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer (cid, key) rows that connect the same: of the sets here that share a key, the least stands for all; each other
-    one meets that one at a key of its own."""
+def _stars(cids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, the least set that has each, and (set, least) of the others, each pair once."""
     order = np.lexsort((cids, keys))
     cids, keys = cids[order], keys[order]
     fresh = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
     least = cids[fresh][np.cumsum(fresh) - 1]
     rest = cids != least
-    pairs = np.unique(np.stack([cids[rest], least[rest]], 1), axis=0)
+    return keys[fresh], cids[fresh], np.unique(np.stack([cids[rest], least[rest]], 1), axis=0)
+
+
+def met(cids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer (cid, key) rows that connect the same: of the sets here that share a key, the least stands for all; each other
+    one meets that one at a key of its own."""
+    keys, least, pairs = _stars(cids, keys)
     own = mix(pairs[:, 0].view(np.uint64) ^ _SEEDS[0])
-    return np.concatenate((cids[fresh], pairs[:, 0], pairs[:, 1])), np.concatenate((keys[fresh], own, own))
+    return np.concatenate((least, pairs[:, 0], pairs[:, 1])), np.concatenate((keys, own, own))
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The low bytes of 64-bit numbers, a row each."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :SHORT]
+
+
+def _wide(rows: bytes) -> np.ndarray:
+    out = np.zeros((len(rows) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(rows, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
+
+
+def packed(cids: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, names, counts, keys) of each bucket that the keys' high bits deal rows into: a name and how many of the keys
+    are its own (255 at most, then it comes again), and of the keys the low bits."""
+    bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+    order = np.lexsort((cids, bucket))
+    cids, keys, bucket = cids[order], _narrow(keys[order]), bucket[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(cids)), bool), (cids[1:] != cids[:-1]) | (bucket[1:] != bucket[:-1]))))
+    sizes = np.diff(starts, append=len(cids))
+    pieces = -(-sizes // 255)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(starts, pieces) + 255 * nth
+    counts, names, of = np.diff(starts, append=len(cids)).astype(np.uint8), _narrow(cids[starts]), bucket[starts]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+    for a, b in zip(first, [*first[1:], len(of)]):
+        yield int(of[a]), names[a:b].tobytes(), counts[a:b].tobytes(), keys[starts[a] : starts[b] if b < len(of) else len(keys)].tobytes()
+
+
+def unpacked(names: bytes, counts: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(cid, low bits of the key) of every row of a bucket, of as many of its pieces as are laid end to end."""
+    return np.repeat(_wide(names).astype(np.int64), np.frombuffer(counts, np.uint8)), _wide(keys)
 
 
 def candidates(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     """(u, v): sets that share a key, each with the least of them. What a batch of texts shares is brought together before
     the shuffle, so a key that a third of all rows have is no third of the rows that are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_cells(docs, rule, text))
+    cells, grams = common_cells(docs, rule, text)
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    buckets = 1 + int(grams * sum(rule.parts(b)[0] for b in rule.bands(1000)) / 1000 / BUCKET_KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
@@ -227,14 +276,19 @@ def candidates(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
             for part in slices(batch, "__text"):
                 sets = list(row_sets(part.column("__text"), rule))
                 own, found = part_keys(sets, rule, lambda g: common[(g >> U64(64 - CELL_BITS)).astype(np.int64)])
-                names = np.array([int.from_bytes(signature(s)[:8], "big", signed=True) if len(s) else 0 for s in sets], np.int64)
+                names = np.array([short_name(signature(s)) if len(s) else 0 for s in sets], np.int64)
                 cids.append(names[own]), keys.append(found)
-            a, b = met(np.concatenate(cids), np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(a)], names=["key", "cid"])
+            rows = list(packed(*met(np.concatenate(cids), np.concatenate(keys)), buckets))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "names", "counts", "keys"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        _, _, pairs = _stars(*unpacked(*(b"".join(table.column(c).to_pylist()) for c in ("names", "counts", "keys"))))
+        release()
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "key bigint, cid bigint")
-    so_far = Window.partitionBy("key").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("v", F.first("cid").over(so_far)).where("cid > v").select(F.col("cid").alias("u"), "v")
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("__text")).mapInArrow(step("ngram_join", run), "bucket int, names binary, counts binary, keys binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
 # The trie -------------------------------------------------------------------------------------------------------------
@@ -491,7 +545,8 @@ def links(docs: DataFrame, marked: DataFrame, rule: Rule, text: str = "text", bl
         names = sorted(by_sig)
         own, sides, homes = ([by_sig[s][k] for s in names] for k in range(3))
         found, counts = block_links(own, rule, np.array(sides, np.int64), np.array(homes, bool))
-        pa.default_memory_pool().release_unused()
+        del own, by_sig
+        release()
         some = np.flatnonzero(counts)
         u, v = [names[a] for a, _ in found] + [names[i] for i in some], [names[b] for _, b in found] + [None] * len(some)
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "n": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})

@@ -115,6 +115,20 @@ def test_linked_sets_have_a_key_in_common(percent):
     assert pairs > 50 or percent > 98
 
 
+def test_keys_are_packed_in_buckets():
+    """Every row comes back from its bucket; a key and its share of the name take less than the 16 bytes of a plain row."""
+    rng = np.random.default_rng(3)
+    cids = np.repeat(rng.integers(0, 1 << 40, 60), rng.choice([1, 30, 700], 60))
+    keys = rng.integers(0, 1 << 63, len(cids), dtype=np.uint64) * np.uint64(2)
+    for buckets in (1, 7, 100):
+        rows = list(ngram_join.packed(cids, keys, buckets))
+        assert len({r[0] for r in rows}) == len(rows) and all(0 <= r[0] < buckets for r in rows)
+        got = [(b, *x) for b, *made in rows for x in zip(*(y.tolist() for y in ngram_join.unpacked(*made)))]
+        assert sorted(got) == sorted((k * buckets >> 64, c, k & (1 << 40) - 1) for c, k in zip(cids.tolist(), keys.tolist()))
+        assert sum(len(x) for r in rows for x in r[1:]) < 8 * len(keys)
+    assert not list(ngram_join.packed(cids[:0], keys[:0], 5))
+
+
 # Languages
 
 

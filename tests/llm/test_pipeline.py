@@ -83,6 +83,17 @@ def test_near_duplicates(spark, docs):
     assert least[9003] != 9003 and least[9004] != 9004
 
 
+def test_distinct_texts_are_not_shuffled(spark, docs, monkeypatch):
+    """What surely stays passes beside the join; what is doubtful is little more than what goes."""
+    seen, parted = [], p.parted
+    monkeypatch.setattr(p, "parted", lambda *a: seen.append(parted(*a)) or seen[-1])
+    found = p.keep_distinct(spark, docs, SF)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    doubtful, kept = seen[0]
+    gone = docs.count() - found.count()
+    assert kept.count() + doubtful.count() == docs.count() and 0 < gone <= doubtful.count() <= gone + 2
+
+
 def test_mixing(spark, docs):
     rows = [(r.doc_id, len(WORD.findall(r.text or "")), r.source) for r in docs.collect()]
     names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
